@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("gates",)
+MODULES = ("gates", "text", "matching")
 
 
 def load() -> None:
