@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("gates", "text", "matching")
+MODULES = ("gates", "text", "matching", "upkeep", "release")
 
 
 def load() -> None:

@@ -20,3 +20,11 @@ def parse_env_matrix(lines: DataFrame) -> DataFrame:
         .withColumn("env", F.trim("env"))
         .filter("env <> ''")
     )
+
+
+COMMIT_SCHEMA = "repo string, sha string, subject string, author string, ts timestamp"
+
+
+def read_commits(spark, path: str) -> DataFrame:
+    """Tab-separated commit log with one line per commit."""
+    return spark.read.schema(COMMIT_SCHEMA).csv(path, sep="\t")
