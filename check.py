@@ -53,8 +53,8 @@ def compare(spark, con, sf_dir: str, job, sql: str) -> str | None:
     if cols != want_cols:
         return f"columns {cols} != {want_cols}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:2]
-        missing = [r for r in want if r not in set(got)][:2]
+        extra = sorted(set(got) - set(want), key=repr)[:2]
+        missing = sorted(set(want) - set(got), key=repr)[:2]
         return f"{len(got)} rows against {len(want)}; only here {extra}; only there {missing}; {cols}"
     return None if got else "no rows"
 

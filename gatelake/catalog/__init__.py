@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("gates", "text", "matching", "upkeep", "release")
+MODULES = ("gates", "text", "matching", "upkeep", "release", "files", "plans")
 
 
 def load() -> None:

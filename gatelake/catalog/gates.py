@@ -24,16 +24,16 @@ def text_ts(col="window_start"):
     return F.date_format(col, "yyyy-MM-dd HH:mm:ss").alias(col)
 
 
-@query(
-    "error_rate_gate",
-    """
+ERROR_RATE_SQL = """
     SELECT service, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
       count(*) AS total_events, CAST(sum(is_error) AS BIGINT) AS error_events,
       CASE WHEN count(*) < 60 THEN 0.0 ELSE (sum(is_error) * 10000 // count(*)) / 10000.0 END AS error_rate,
       CAST(0.2 AS DOUBLE) AS threshold,
       count(*) < 60 OR (sum(is_error) * 10000 // count(*)) <= 2000 AS passed
-    FROM v_counts GROUP BY 1, 2""",
-)
+    FROM v_counts GROUP BY 1, 2"""
+
+
+@query("error_rate_gate", ERROR_RATE_SQL)
 def error_rate_gate(spark, sf):
     out = gates.error_rate_gate(view(spark, sf, "v_counts"), 0.1, 2.0, 60, "1 day")
     return out.withColumn("window_start", text_ts())

@@ -119,11 +119,10 @@ def parse_commands(spark, sf):
 FILES = """
     SELECT doc_id, concat('dir/', CASE doc_id % 7 WHEN 0 THEN '.env' WHEN 1 THEN '.env.example' WHEN 2 THEN '.env.local'
         WHEN 3 THEN 'data.json' WHEN 4 THEN 'notes.md' WHEN 5 THEN 'run.sh' ELSE 'blob.bin' END) AS path,
-      CASE WHEN doc_id % 7 = 3 AND doc_id % 2 = 0 THEN concat('{{"n": ', n_chars, ', "ok": [true, null]}}') ELSE text END AS content,
+      CASE WHEN doc_id % 7 = 3 AND doc_id % 2 = 0 THEN concat('{"n": ', n_chars, ', "ok": [true, null]}') ELSE text END AS content,
       n_chars * 40 AS size_bytes, n_chars % 3 <> 0 AS ends_with_newline
     FROM {documents}"""
-FILES_SQL = FILES.replace("{{", "{").replace("}}", "}").replace("{documents}", "documents")
-FILES_SPARK = FILES
+FILES_SQL = FILES.replace("{documents}", "documents")
 
 
 @query(
@@ -138,7 +137,7 @@ FILES_SPARK = FILES
     SELECT * FROM v WHERE violations <> ''""",
 )
 def audit_file_policy(spark, sf):
-    return tp.audit_file_policy(project(spark, sf, FILES_SPARK))
+    return tp.audit_file_policy(project(spark, sf, FILES))
 
 
 @query(

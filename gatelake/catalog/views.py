@@ -149,7 +149,11 @@ VIEWS: dict[str, str] = {
         FROM {pages}""",
 }
 
-_TABLE = re.compile(r"\{(\w+)\}")
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+_TABLE = re.compile(r"\{(" + "|".join(TABLES) + r")\}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,7 +167,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def project(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     frames = {t: table(spark, sf_dir, t) for t in set(_TABLE.findall(text))}
-    return spark.sql(text, **frames)
+    # Only table placeholders are formatted; other braces belong to the text.
+    quoted = text.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(r"\{(" + _TABLE.pattern + r")\}", r"\1", quoted), **frames)
 
 
 def with_views(sql: str) -> str:
