@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("gates", "text", "matching", "upkeep", "release", "files", "plans")
+MODULES = ("gates", "text", "matching", "upkeep", "release", "files", "plans", "streams")
 
 
 def load() -> None:
