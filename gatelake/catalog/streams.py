@@ -13,7 +13,7 @@ from gatelake.operators import gates
 from gatelake.session import configure
 from gatelake.streaming import queues as q
 from gatelake.streaming import telemetry as t
-from gatelake.streaming.runtime import run_available, run_batches, stream_parquet
+from gatelake.streaming.runtime import run_available, run_batches, run_timers, stream_parquet
 
 NOW = "1998-01-01 00:00:00"
 
@@ -107,7 +107,7 @@ def stream_dispatch(spark, sf):
     entries = q.schedule(stream_view(spark, sf, "v_queue")).select(
         F.col("digest").alias("key"), "due", "fire_at", (F.col("queued_at").cast("timestamp") + F.expr("make_interval(0,0,0,0,0,0,entry_id / 1000000)")).alias("queued_at"), F.col("app").alias("payload")
     )
-    return run_available(q.stream_delayed(entries), "dispatch").drop("queued_us")
+    return run_timers(q.stream_delayed(entries), "dispatch").drop("queued_us")
 
 
 @query("upsert_queue", f"WITH {QUEUE} SELECT digest, entry_id, app, observation_minutes FROM newest")
@@ -149,7 +149,7 @@ def stream_followups(spark, sf):
         F.col("conv_id").cast("string").alias("key"), "due", F.col("due_at").alias("fire_at"), F.timestamp_seconds("turn").alias("queued_at"),
         F.concat("task", F.lit(": "), "reason").alias("payload"),
     )
-    return run_available(q.stream_delayed(entries), "followups").drop("queued_us")
+    return run_timers(q.stream_delayed(entries), "followups").drop("queued_us")
 
 
 @query("stream_verify_fix")
@@ -169,7 +169,7 @@ def stream_verify_fix(spark, sf):
 )
 def stream_commands(spark, sf):
     """Every comment is delivered twice."""
-    comments = stream_view(spark, sf, "v_comments").withColumn("ts", F.timestamp_seconds("comment_id"))
+    comments = stream_view(spark, sf, "v_comments").withColumn("ts", F.timestamp_seconds(F.col("comment_id") + 1_700_000_000))
     twice = comments.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
     return run_available(t.stream_commands(twice), "commands").select("comment_id", "command", "authorized")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,29 @@ def run_available(stream: DataFrame, purpose: str, partition_by: list[str] | Non
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_timers(stream: DataFrame, purpose: str) -> DataFrame:
+    """Like :func:`run_available` for a stream with processing-time timers.
+
+    Such a stream always has another batch to run, so it is stopped after the
+    first batch without input; entries that are not due stay in its state.
+    """
+    spark = stream.sparkSession
+    base = shared_dir(spark, purpose)
+    query = (
+        stream.writeStream.format("parquet")
+        .outputMode("append")
+        .option("checkpointLocation", f"{base}/state")
+        .trigger(processingTime="0 seconds")
+        .start(f"{base}/out")
+    )
+    while query.isActive and not (query.recentProgress and query.recentProgress[-1]["numInputRows"] == 0):
+        time.sleep(0.2)
+    if query.exception() is not None:
+        raise query.exception()
+    query.stop()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def run_batches(stream: DataFrame, purpose: str, write: Callable[[DataFrame, int, str], None]) -> str:
     """Process everything available through ``write(batch, batch_id, path)``; returns the path."""
     base = shared_dir(stream.sparkSession, purpose)
