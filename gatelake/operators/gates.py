@@ -274,7 +274,7 @@ def evaluate_thresholds(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
         F.count_if(F.col("rank") > 0).alias("violations"),
         F.max("rank").alias("max_rank"),
         F.array_join(
-            F.array_sort(F.collect_set(F.when(F.col("rank") > 0, F.col("name")))), ","
+            F.sort_array(F.collect_set(F.when(F.col("rank") > 0, F.col("name")))), ","
         ).alias("violated"),
     )
 

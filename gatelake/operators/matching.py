@@ -67,7 +67,7 @@ def pin_totals(checked: DataFrame) -> DataFrame:
 def title_words(title: str) -> Column:
     """Words of a title: lower-case, anything but ``[a-z0-9 ]`` is a blank."""
     clean = F.regexp_replace(F.lower(F.col(title)), "[^a-z0-9]+", " ")
-    return F.filter(F.split(clean, " "), lambda w: w != "")
+    return F.array_remove(F.split(clean, " "), "")
 
 
 def title_keywords(title: str) -> Column:
@@ -89,40 +89,51 @@ def find_duplicates(issues: DataFrame, posting_rows: int = 100_000) -> DataFrame
     A query probes only the posting list of its rarest keyword, and a posting
     list longer than ``posting_rows`` is cut into salted parts that are probed
     in parallel, so no keyword is dropped and no list lands in one task.
+    Titles are cut into words once and kept in the shared folder.
     """
-    base = issues.select(
-        "repo",
-        "number",
-        F.array_sort(F.array_distinct(title_keywords("title"))).alias("kws"),
-        F.array_sort(F.array_distinct(title_words("title"))).alias("words"),
-    )
-    newest = Window.partitionBy("repo", "words").orderBy(F.desc("number"))
-    titles = (
-        base.select("repo", "words", "number")
+    base = cut_lineage(
+        issues.select(
+            "repo",
+            "number",
+            F.sort_array(F.array_distinct(title_keywords("title"))).alias("kws"),
+            F.sort_array(F.array_distinct(title_words("title"))).alias("words"),
+        ).withColumn("look", F.md5(F.concat_ws(" ", "words"))),
+        "title-words",
+    )
+    newest = Window.partitionBy("repo", "look").orderBy(F.desc("number"))
+    slots = (
+        base.select("repo", "look", "number")
         .withColumn("__rn", F.row_number().over(newest))
         .filter(F.col("__rn") <= DUPLICATE_SLOTS)
-        .groupBy("repo", "words")
+        .groupBy("repo", "look")
         .agg(F.collect_list("number").alias("numbers"))
+        .select("repo", "numbers", F.array_max("numbers").alias("set_id"))
+    )
+    # One row per distinct word set: its newest issue stands for the set.
+    titles = cut_lineage(
+        base.select("repo", F.col("number").alias("set_id"), "words").join(slots, ["repo", "set_id"]), "word-sets"
     )
-    postings = titles.select("repo", "words", "numbers", F.explode("words").alias("word"))
-    size = postings.groupBy("repo", "word").agg(F.count(F.lit(1)).alias("df"))
     searches = base.filter(F.size("kws") > 0).select("repo", "kws").distinct()
+    asked = searches.select("repo", "kws", F.explode("kws").alias("word"))
+    postings = titles.select("repo", "set_id", F.explode("words").alias("word"))
+    parts = F.expr(f"cast(ceil(df / {posting_rows}) as int)")
+    size = postings.groupBy("repo", "word").agg(F.count(F.lit(1)).alias("df"))
     rarest = (
-        searches.select("repo", "kws", F.explode("kws").alias("word"))
-        .join(size, ["repo", "word"])
+        asked.join(size, ["repo", "word"])
         .groupBy("repo", "kws")
         .agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("df", "word")).alias("key"))
         .filter(F.col("known") == F.size("kws"))
-        .select("repo", "kws", F.col("key.word").alias("word"), F.expr(f"cast(ceil(key.df / {posting_rows}) as int)").alias("parts"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("repo", "kws", "key.word", "key.df")
+        .select("repo", "kws", "word", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    )
+    parted = postings.join(size, ["repo", "word"]).select(
+        "repo", "word", "set_id", F.pmod(F.xxhash64("set_id"), parts).cast("int").alias("part")
     )
-    parted = postings.join(
-        size.select("repo", "word", F.expr(f"cast(ceil(df / {posting_rows}) as int)").alias("parts")), ["repo", "word"]
-    ).withColumn("part", F.pmod(F.xxhash64("words"), F.col("parts")).cast("int"))
     best = Window.partitionBy("repo", "kws").orderBy(F.desc("candidate"))
     top = (
-        rarest.drop("parts")
-        .join(parted.drop("parts"), ["repo", "word", "part"])
+        rarest.join(parted, ["repo", "word", "part"])
+        .select("repo", "kws", "set_id")
+        .join(titles, ["repo", "set_id"])
         .filter(F.size(F.array_except("kws", "words")) == 0)
         .select("repo", "kws", F.explode("numbers").alias("candidate"))
         .withColumn("slot", F.row_number().over(best))
@@ -145,23 +156,28 @@ def similar_issues(issues: DataFrame, floor: float = 0.8, text: str = "title") -
     numbers, so copies never meet each other.  The earlier issue with the
     highest similarity wins, then the lowest number.
     """
-    base = issues.select("repo", "number", F.array_sort(F.array_distinct(title_words(text))).alias("words")).filter(
-        F.size("words") > 0
+    base = cut_lineage(
+        issues.select("repo", "number", F.sort_array(F.array_distinct(title_words(text))).alias("words"))
+        .filter(F.size("words") > 0)
+        .withColumn("look", F.md5(F.concat_ws(" ", "words"))),
+        "word-sets",
+    )
+    firsts = base.groupBy("repo", "look").agg(F.min("number").alias("first"))
+    sets = base.join(firsts.select("repo", F.col("first").alias("number")), ["repo", "number"], "left_semi").select(
+        "repo", F.col("number").alias("first"), "words"
     )
-    sets = base.groupBy("repo", "words").agg(F.min("number").alias("first")).withColumn("set_id", F.xxhash64("words"))
-    rows = sets.select("repo", "set_id", "first", "words", F.explode("words").alias("word"))
+    rows = sets.select("repo", "first", F.explode("words").alias("word"))
     frequency = rows.groupBy("repo", "word").agg(F.count(F.lit(1)).alias("df"))
     ordered = (
-        rows.select("repo", "first", "word")
-        .join(frequency, ["repo", "word"])
+        rows.join(frequency, ["repo", "word"])
         .groupBy("repo", "first")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"))
         .select("repo", "first", F.transform("ranked", lambda x: x["word"]).alias("ranked"))
         .withColumn("n", F.size("ranked"))
     )
     prefix_len = F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9).cast("int") + 1
-    prefixes = ordered.withColumn("word", F.explode(F.slice("ranked", F.lit(1), prefix_len))).select(
-        "repo", "word", "first", "n"
+    prefixes = cut_lineage(
+        ordered.select("repo", "first", "n", F.explode(F.slice("ranked", F.lit(1), prefix_len)).alias("word")), "prefixes"
     )
     a = prefixes.select("repo", "word", F.col("first").alias("a"), F.col("n").alias("na"))
     b = prefixes.select("repo", "word", F.col("first").alias("b"), F.col("n").alias("nb"))
@@ -184,7 +200,7 @@ def similar_issues(issues: DataFrame, floor: float = 0.8, text: str = "title") -
         .select("repo", F.col("a").alias("number"), (-F.col("best.neg")).alias("duplicate_of"), F.col("best.sim").alias("similarity"))
     )
     copies = (
-        base.join(sets.select("repo", "words", "first"), ["repo", "words"])
+        base.select("repo", "number", "look").join(firsts, ["repo", "look"])
         .filter("number > first")
         .select("repo", "number", F.col("first").alias("duplicate_of"), F.lit(1.0).alias("similarity"))
     )
@@ -200,7 +216,7 @@ def _match_keys(fingerprint: str, title: str, exc_class: str, frames: str) -> Co
     Two errors share at least k of their top five frames exactly when they
     share a k-subset of them, so frame overlap becomes an equi-join on subsets.
     """
-    top = F.array_sort(F.array_distinct(F.slice(frames, 1, 5)))
+    top = F.sort_array(F.array_distinct(F.slice(frames, 1, 5)))
 
     def key(strength: int, *parts: Column) -> Column:
         return F.struct(F.lit(strength).alias("strength"), F.concat_ws("\x1f", F.lit(str(strength)), *parts).alias("key"))
@@ -290,7 +306,7 @@ def verify_fixes(fixes: DataFrame, errors: DataFrame, minutes: int = FIX_WINDOW_
 def fix_verdicts(verified: DataFrame) -> DataFrame:
     """Comma lists of confirmed and regressed references per request, ``none`` when empty."""
     def listed(status: str) -> Column:
-        refs = F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == status, F.col("ref")))), ",")
+        refs = F.array_join(F.sort_array(F.collect_list(F.when(F.col("status") == status, F.col("ref")))), ",")
         return F.coalesce(F.nullif(refs, F.lit("")), F.lit("none")).alias(status)
 
     return verified.groupBy("pr").agg(listed("confirmed"), listed("regressed"))

@@ -80,7 +80,7 @@ def changelog(commits: DataFrame, prs: DataFrame | None = None, keys: Sequence[s
         .agg(
             F.count(F.lit(1)).alias("bullets"),
             F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("rn", "bullet"))), lambda x: x["bullet"]), "\n"
+                F.transform(F.sort_array(F.collect_list(F.struct("rn", "bullet"))), lambda x: x["bullet"]), "\n"
             ).alias("text"),
         )
     )
@@ -158,7 +158,7 @@ def doc_drift(commit_files: DataFrame, docs_path: str = "docs/") -> DataFrame:
         .filter(F.col("rn") <= DRIFT_FILES)
         .filter((F.col("rn") <= FIRST_FILES) | F.col("last_doc").isNotNull())
         .groupBy("repo")
-        .agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("files"))
+        .agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("files"))
     )
     quiet = F.coalesce(F.col("last_mdx") <= F.col("last_doc"), F.lit(True))
     return counts.join(listed, "repo").select(

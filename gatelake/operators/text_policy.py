@@ -93,7 +93,7 @@ def audit_descriptions(prs: DataFrame) -> DataFrame:
 def fix_refs(body: Column | str) -> Column:
     """Distinct issue numbers a description closes, as text in string order."""
     pattern = "(?i)" + P.CLOSING_WORDS + P.BLANKS + "#([0-9]+)"
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(_col(body), F.lit(pattern), F.lit(1))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(_col(body), F.lit(pattern), F.lit(1))))
 
 
 def extract_fix_refs(prs: DataFrame, body: str = "body") -> DataFrame:
@@ -245,9 +245,9 @@ def label_prs(files: DataFrame, rules: Mapping[str, Sequence[str]], keys: Sequen
     kept = F.array_except(current, F.array_except(F.array(*[F.lit(x) for x in regex]), wanted)) if sync else current
     return grouped.select(
         *keys,
-        F.array_join(F.array_sort(F.array_union(kept, wanted)), ",").alias("labels"),
-        F.array_join(F.array_sort(F.array_except(wanted, current)), ",").alias("added"),
-        F.array_join(F.array_sort(F.array_except(current, F.array_union(kept, wanted))), ",").alias("removed"),
+        F.array_join(F.sort_array(F.array_union(kept, wanted)), ",").alias("labels"),
+        F.array_join(F.sort_array(F.array_except(wanted, current)), ",").alias("added"),
+        F.array_join(F.sort_array(F.array_except(current, F.array_union(kept, wanted))), ",").alias("removed"),
     )
 
 
@@ -345,16 +345,22 @@ def propose_branches(issues: DataFrame, branches: DataFrame, cap: int = 50) -> D
 
 
 def extract_action_refs(lines: DataFrame) -> DataFrame:
-    """Action and ref of every ``uses:`` line that is neither local nor an image."""
-    spec = F.regexp_extract("line", r"^[ \t]*(?:-[ \t]+)?uses:[ \t]*([^\s#]+@[^\s#]*)", 1)
-    bare = F.regexp_replace(spec, "[\"']", "")
+    """Action and ref of every ``uses:`` line that is neither local nor an image.
+
+    The match is generated once per line; lines without one produce no row.
+    """
+    pattern = r"^[ \t]*(?:-[ \t]+)?uses:[ \t]*([^\s#]+@[^\s#]*)"
+    spec = F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)))
+    keep = [c for c in lines.columns if c != "line"]
     return (
-        lines.withColumn("__spec", bare)
-        .filter((F.col("__spec") != "") & ~F.col("__spec").rlike(r"^(\./|docker:)"))
+        lines.filter(F.contains("line", F.lit("uses:")))
+        .select(*keep, spec.alias("__raw"))
+        .withColumn("__spec", F.translate("__raw", "\"'", ""))
+        .filter(~F.col("__spec").startswith("./") & ~F.col("__spec").startswith("docker:"))
         .withColumn("ref", F.substring_index("__spec", "@", -1))
         .withColumn("action", F.expr("left(__spec, length(__spec) - length(ref) - 1)"))
         .filter("ref <> ''")
-        .drop("__spec", "line")
+        .drop("__raw", "__spec")
     )
 
 

@@ -77,7 +77,7 @@ def dependency_updates(prs: DataFrame) -> DataFrame:
             *[
                 F.array_join(
                     F.transform(
-                        F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rn", "pr")))),
+                        F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("rn", "pr")))),
                         lambda x: x["pr"].cast("string"),
                     ),
                     ",",

@@ -40,7 +40,7 @@ def apply_doc_updates(docs: DataFrame, updates: DataFrame) -> DataFrame:
     missing document is created.
     """
     ordered = updates.groupBy("repo", "path").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "type", "section", "content"))).alias("updates")
+        F.sort_array(F.collect_list(F.struct("seq", "type", "section", "content"))).alias("updates")
     )
     return (
         ordered.join(docs, ["repo", "path"], "left")

@@ -348,8 +348,8 @@ def label_state(ops: DataFrame, issues: DataFrame) -> DataFrame:
             .otherwise(state)
         )
 
-    ordered = ops.groupBy("repo", "number").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "labels"))).alias("ops"))
+    ordered = ops.groupBy("repo", "number").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "labels"))).alias("ops"))
     start = parse_labels(F.coalesce("labels", F.lit("")))
     return issues.join(ordered, ["repo", "number"]).select(
-        "repo", "number", F.array_join(F.array_sort(F.aggregate("ops", start, step)), ",").alias("labels")
+        "repo", "number", F.array_join(F.sort_array(F.aggregate("ops", start, step)), ",").alias("labels")
     )

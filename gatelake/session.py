@@ -30,7 +30,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: str = "*", partitions: int = 8, memory: str = "8g", shared: str | None = None
+) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -40,6 +42,8 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
