@@ -418,14 +418,20 @@ def concurrent_deploys(runs: DataFrame, keys: Sequence[str] = ("concurrency_grou
 
 
 def unrecorded_prs(prs: DataFrame, changelog_commits: DataFrame, limit: int = UNRECORDED_LIMIT) -> DataFrame:
-    """Newest requests per repository merged strictly after its last changelog commit."""
+    """Newest requests per repository merged strictly after its last changelog commit.
+
+    The limit and the threshold follow the same order, so the newest requests
+    are taken first and only those meet the changelog date.
+    """
     last = changelog_commits.groupBy("repo").agg(F.max("ts").alias("__last"))
     newest = Window.partitionBy("repo").orderBy(F.desc("merged_at"), F.desc("pr"))
     return (
-        prs.join(last, "repo")
-        .filter(F.col("merged_at") > F.col("__last"))
-        .select("repo", "pr", "merged_at", F.row_number().over(newest).alias("rank"))
+        prs.select("repo", "pr", "merged_at")
+        .withColumn("rank", F.row_number().over(newest))
         .filter(F.col("rank") <= limit)
+        .join(last, "repo")
+        .filter(F.col("merged_at") > F.col("__last"))
+        .drop("__last")
     )
 
 
