@@ -331,25 +331,36 @@ def label_state(ops: DataFrame, issues: DataFrame) -> DataFrame:
     """Labels of each issue after its label operations, in order.
 
     ``ops(repo, number, seq, op, labels)`` with op add, remove, set_priority,
-    mark_duplicate or escalate; ``issues(repo, number, labels)``.
+    mark_duplicate or escalate; ``issues(repo, number, labels)``.  The last
+    operation that touches a label decides, so the ordered fold is a maximum
+    per label and an issue with many operations is reduced before the shuffle.
     """
+    touch = lambda name, step, present: F.struct(name.alias("label"), F.lit(step).alias("step"), F.lit(present).alias("present"))
+    each = lambda names, step, present: F.transform(names, lambda x: touch(x, step, present))
+    given = _listed(F.col("labels"))
     four = F.array(*[F.lit(f"priority:{p}") for p in S.PRIORITIES])
-    dup = F.array(F.lit("duplicate"))
-    human = F.array(F.lit(S.DEFAULT_ESCALATION))
-
-    def step(state: Column, op: Column) -> Column:
-        given = _listed(op["labels"])
-        return (
-            F.when(op["op"] == "add", F.array_union(state, given))
-            .when(op["op"] == "remove", F.array_except(state, given))
-            .when(op["op"] == "set_priority", F.array_union(F.array_except(state, four), given))
-            .when(op["op"] == "mark_duplicate", F.array_union(state, dup))
-            .when(op["op"] == "escalate", F.array_union(state, F.when(F.size(given) > 0, given).otherwise(human)))
-            .otherwise(state)
-        )
-
-    ordered = ops.groupBy("repo", "number").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "labels"))).alias("ops"))
-    start = parse_labels(F.coalesce("labels", F.lit("")))
-    return issues.join(ordered, ["repo", "number"]).select(
-        "repo", "number", F.array_join(F.sort_array(F.aggregate("ops", start, step)), ",").alias("labels")
+    human = F.when(F.size(given) > 0, given).otherwise(F.array(F.lit(S.DEFAULT_ESCALATION)))
+    op = F.col("op")
+    touched = (
+        F.when(op == "add", each(given, 1, True))
+        .when(op == "remove", each(given, 1, False))
+        .when(op == "set_priority", F.concat(each(four, 0, False), each(given, 1, True)))
+        .when(op == "mark_duplicate", F.array(touch(F.lit("duplicate"), 1, True)))
+        .when(op == "escalate", each(human, 1, True))
     )
+    changes = ops.select("repo", "number", F.col("seq").cast("bigint").alias("seq"), F.inline(touched))
+    changed = ops.select("repo", "number").distinct()
+    start = issues.join(changed, ["repo", "number"], "left_semi").select(
+        "repo",
+        "number",
+        F.lit(-(1 << 62)).alias("seq"),
+        F.inline_outer(each(parse_labels(F.coalesce("labels", F.lit(""))), 1, True)),
+    )
+    final = (
+        start.unionByName(changes)
+        .groupBy("repo", "number", "label")
+        .agg(F.max(F.struct("seq", "step", "present"))["present"].alias("present"))
+    )
+    labels = F.array_join(F.sort_array(F.collect_list(F.when(F.col("present"), F.col("label")))), ",")
+    known = issues.select("repo", "number").distinct()
+    return final.groupBy("repo", "number").agg(labels.alias("labels")).join(known, ["repo", "number"], "left_semi")
