@@ -97,12 +97,13 @@ def find_duplicates(issues: DataFrame, posting_rows: int = 100_000) -> DataFrame
             "number",
             F.sort_array(F.array_distinct(title_keywords("title"))).alias("kws"),
             F.sort_array(F.array_distinct(title_words("title"))).alias("words"),
-        ).withColumn("look", F.md5(F.concat_ws(" ", "words"))),
+        ),
         "title-words",
     )
+    look = F.md5(F.concat_ws(" ", "words")).alias("look")
     newest = Window.partitionBy("repo", "look").orderBy(F.desc("number"))
     slots = (
-        base.select("repo", "look", "number")
+        base.select("repo", look, "number")
         .withColumn("__rn", F.row_number().over(newest))
         .filter(F.col("__rn") <= DUPLICATE_SLOTS)
         .groupBy("repo", "look")
@@ -126,9 +127,10 @@ def find_duplicates(issues: DataFrame, posting_rows: int = 100_000) -> DataFrame
         .select("repo", "kws", "key.word", "key.df")
         .select("repo", "kws", "word", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     )
-    parted = postings.join(size, ["repo", "word"]).select(
-        "repo", "word", "set_id", F.pmod(F.xxhash64("set_id"), parts).cast("int").alias("part")
-    )
+    # Only words with a long list need a salt; all others stay in part 0.
+    long_lists = size.filter(F.col("df") > posting_rows)
+    salt = F.when(F.col("df").isNotNull(), F.pmod(F.xxhash64("set_id"), parts)).otherwise(0).cast("int")
+    parted = postings.join(long_lists, ["repo", "word"], "left").select("repo", "word", "set_id", salt.alias("part"))
     best = Window.partitionBy("repo", "kws").orderBy(F.desc("candidate"))
     top = (
         rarest.join(parted, ["repo", "word", "part"])
@@ -157,11 +159,9 @@ def similar_issues(issues: DataFrame, floor: float = 0.8, text: str = "title") -
     highest similarity wins, then the lowest number.
     """
     base = cut_lineage(
-        issues.select("repo", "number", F.sort_array(F.array_distinct(title_words(text))).alias("words"))
-        .filter(F.size("words") > 0)
-        .withColumn("look", F.md5(F.concat_ws(" ", "words"))),
-        "word-sets",
-    )
+        issues.select("repo", "number", F.sort_array(F.array_distinct(title_words(text))).alias("words")), "word-sets"
+    ).filter(F.size("words") > 0)
+    base = base.withColumn("look", F.md5(F.concat_ws(" ", "words")))
     firsts = base.groupBy("repo", "look").agg(F.min("number").alias("first"))
     sets = base.join(firsts.select("repo", F.col("first").alias("number")), ["repo", "number"], "left_semi").select(
         "repo", F.col("number").alias("first"), "words"
