@@ -160,15 +160,16 @@ def version_alignment(spark, sf):
     "precheck",
     f"""
     WITH {LATEST}, g AS (SELECT service, CAST(sum(is_error) AS BIGINT) * 10000 // count(*) <= 2000 AS p FROM v_counts
-      WHERE service <> 'svc-3' GROUP BY 1)
+      GROUP BY 1), g2 AS (SELECT CASE service WHEN 'svc-3' THEN 'svc-9' ELSE service END AS service, p FROM g)
     SELECT l.service, stg_digest, prd_digest, stg_digest IS NOT DISTINCT FROM prd_digest AS aligned,
       coalesce(epoch(TIMESTAMP '{NOW}' - stg_ts) // 60 >= 3000, false) AS observed, p AS rate_passed, p IS NULL AS rate_skipped,
       stg_digest IS NOT DISTINCT FROM prd_digest AND coalesce(epoch(TIMESTAMP '{NOW}' - stg_ts) // 60 >= 3000, false)
         AND coalesce(p, true) AS ready
-    FROM l LEFT JOIN g USING (service)""",
+    FROM l LEFT JOIN g2 USING (service)""",
 )
 def precheck(spark, sf):
-    counts = view(spark, sf, "v_counts").filter("service <> 'svc-3'")
+    """One service reports its telemetry under another name, so its rate is skipped."""
+    counts = view(spark, sf, "v_counts").replace("svc-3", "svc-9", ["service"])
     totals = counts.groupBy("service").agg(
         F.count(F.lit(1)).alias("total_events"), F.sum(F.col("is_error").cast("bigint")).alias("error_events")
     )

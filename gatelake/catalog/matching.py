@@ -71,8 +71,8 @@ def similar_issues(spark, sf):
 
 ERROR_SHAPE = """
     CASE user_id % 4 WHEN 0 THEN 'TypeError' WHEN 1 THEN 'AbortError' WHEN 2 THEN 'KeyError' ELSE 'NetworkError' END AS exc_class,
-    concat_ws('|', concat('f', user_id % 3), concat('g', event_id % 4), concat('h', user_id % 5), concat('i', event_id % 7),
-      concat('j', event_id % 9), 'main') AS frames"""
+    concat_ws('|', concat('f', user_id % 3), concat('g', event_id % 31), concat('h', user_id % 50), concat('i', event_id % 41),
+      concat('j', event_id % 23), 'main') AS frames"""
 ERROR_GROUPS = f"""
     SELECT event_id AS error_id, concat('fp-', user_id, '-', event_id % 3) AS fingerprint,
       concat('Failed ', chr(CAST(97 + user_id % 26 AS INT)), chr(CAST(97 + event_id % 26 AS INT)), ' after ', event_id) AS title,
@@ -82,7 +82,7 @@ KNOWN_ISSUES = f"""
     SELECT event_id AS number, concat('fp-', user_id, '-', event_id % 50) AS fingerprint,
       concat('Failed ', chr(CAST(97 + user_id % 26 AS INT)), chr(CAST(97 + event_id % 26 AS INT)), ' after ', event_id) AS title,
       {ERROR_SHAPE}
-    FROM {{events}} WHERE event_type = 'signup' AND value > 45"""
+    FROM {{events}} WHERE event_type = 'signup'"""
 
 
 @query(

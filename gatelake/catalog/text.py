@@ -271,18 +271,21 @@ BRANCH_LABELS = "CASE pr % 4 WHEN 0 THEN 'bug' WHEN 1 THEN 'Enhancement, ci' WHE
 @query(
     "propose_branches",
     f"""
-    WITH i AS (SELECT pr, repo, concat(title, ' no. ', pr % 30, ': a rather long explanation of it') AS title, {BRANCH_LABELS} AS labels FROM v_prs),
-    b AS (SELECT pr, repo, concat(CASE pr % 4 WHEN 0 THEN 'fix/' WHEN 3 THEN 'chore/' ELSE 'feat/' END,
+    WITH i AS (SELECT pr, repo, author, concat(title, ' no. ', pr % 30, ': a rather long explanation of it') AS title, {BRANCH_LABELS} AS labels FROM v_prs),
+    b AS (SELECT pr, repo, author, concat(CASE pr % 4 WHEN 0 THEN 'fix/' WHEN 3 THEN 'chore/' ELSE 'feat/' END,
       regexp_replace(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+', '')[1:50], '-+$', '')) AS branch FROM i),
-    k AS (SELECT DISTINCT repo, branch FROM b WHERE pr % 5 = 0)
+    k AS (SELECT DISTINCT repo, branch FROM b WHERE author = 'dependabot[bot]')
     SELECT pr, repo, branch, CASE WHEN k.branch IS NULL THEN 'create' ELSE 'skipped' END AS status
     FROM b LEFT JOIN k USING (repo, branch)""",
 )
 def propose_branches(spark, sf):
+    """The update bot has its branches already."""
     title = F.concat("title", F.lit(" no. "), F.col("pr") % 30, F.lit(": a rather long explanation of it"))
-    issues = view(spark, sf, "v_prs").select("pr", "repo", title.alias("title"), F.expr(BRANCH_LABELS).alias("labels"))
+    issues = view(spark, sf, "v_prs").select(
+        "pr", "repo", "author", title.alias("title"), F.expr(BRANCH_LABELS).alias("labels")
+    )
     none = issues.select("repo", F.lit("").alias("branch")).filter("false")
-    existing = tp.propose_branches(issues.filter("pr % 5 = 0"), none).select("repo", "branch")
+    existing = tp.propose_branches(issues.filter("author = 'dependabot[bot]'"), none).select("repo", "branch")
     return tp.propose_branches(issues, existing).select("pr", "repo", "branch", "status")
 
 
