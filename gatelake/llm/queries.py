@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelake.llm import mixing, sharding, simhash
+from gatelake.llm import (
+    decontaminate,
+    mixing,
+    ppm,
+    quality,
+    quotes,
+    sharding,
+    simhash,
+    surrogates,
+    toxicity,
+    vector_dedup,
+)
 from gatelake.session import configure
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +38,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return surrogates.replace_personal_data(docs, "text").withColumn("n_replaced", F.size("replaced"))
+
+
+@query
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.find_overlaps(docs, "doc_id", "text", items, "item_id", "text")
+
+
+@query
+def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, "doc_id", "text", labels, "toxic")
+    scored = toxicity.severity(docs, "doc_id", "text", model)
+    return scored.withColumn("toxic", F.col("toxic_probability") >= toxicity.REJECT)
+
+
+@query
+def op4_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.95)
+
+
 @query
 def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -54,3 +90,30 @@ def op7_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mail = quotes.quote_replies(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return quotes.link_quotes(mail, "conv_id", "turn", "text", "role")
+
+
+@query
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    docs = table(spark, sf_dir, "documents")
+    scored = ppm.ppm_scores(docs, "doc_id", "text", ~F.coalesce(held_out, F.lit(False)))
+    return scored.select(
+        "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+@query
+def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = quality.train(docs, "doc_id", "text", labels, "quality", ~held_out)
+    scored = quality.quality(docs, "doc_id", "text", model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted")
+    )

@@ -68,9 +68,11 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> I
         start = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and ``n + 1`` word offsets of the texts."""
-    inside = ~BLANK[data]
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = BLANK
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and ``n + 1`` word offsets of the texts; ``outside`` marks bytes between words."""
+    inside = ~outside[data]
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
