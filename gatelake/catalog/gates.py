@@ -96,10 +96,10 @@ def perf_regression(spark, sf):
     "coverage_gate",
     """
     WITH c AS (SELECT repo, run_id, CASE run_id % 4 WHEN 0 THEN 'pr' WHEN 1 THEN 'stg' WHEN 2 THEN 'prd' ELSE 'dev' END AS mode,
-        round(100.0 * count(*) FILTER (WHERE conclusion = 'success') / count(*), 2) AS coverage_percent
+        CASE WHEN run_id % 7 <> 0 THEN round(100.0 * count(*) FILTER (WHERE conclusion = 'success') / count(*), 2) END AS coverage_percent
       FROM v_jobs GROUP BY 1, 2, 3)
-    SELECT *, coverage_percent >= 50 AS passed,
-      CASE WHEN coverage_percent >= 50 THEN 'ok' WHEN mode = 'pr' THEN 'warning'
+    SELECT *, coalesce(coverage_percent >= 50, false) AS passed,
+      CASE WHEN coverage_percent IS NULL THEN 'unknown-format' WHEN coverage_percent >= 50 THEN 'ok' WHEN mode = 'pr' THEN 'warning'
         WHEN mode IN ('stg', 'prd') THEN 'blocking' ELSE 'unknown-mode' END AS verdict FROM c""",
 )
 def coverage_gate(spark, sf):
@@ -109,7 +109,9 @@ def coverage_gate(spark, sf):
         .groupBy("repo", "run_id", mode.alias("mode"))
         .agg(F.round(100.0 * F.count_if(F.col("conclusion") == "success") / F.count(F.lit(1)), 2).alias("coverage_percent"))
     )
-    return gates.coverage_gate(percent, 50)
+    # Every seventh run has a report of unknown format.
+    known = F.when(F.col("run_id") % 7 != 0, F.col("coverage_percent"))
+    return gates.coverage_gate(percent.withColumn("coverage_percent", known), 50)
 
 
 @query(
@@ -185,7 +187,7 @@ def _gate_columns() -> str:
     return ", ".join(cols)
 
 
-MATRIX = f"SELECT repo, run_id, {_gate_columns()} FROM v_jobs WHERE job <> 'build' GROUP BY 1, 2"
+MATRIX = f"SELECT repo, run_id, {_gate_columns()} FROM v_jobs GROUP BY 1, 2"
 
 
 @query("gate_matrix", MATRIX)

@@ -74,12 +74,12 @@ ERROR_SHAPE = """
     concat_ws('|', concat('f', user_id % 3), concat('g', event_id % 31), concat('h', user_id % 50), concat('i', event_id % 41),
       concat('j', event_id % 23), 'main') AS frames"""
 ERROR_GROUPS = f"""
-    SELECT event_id AS error_id, concat('fp-', user_id, '-', event_id % 3) AS fingerprint,
+    SELECT event_id AS error_id, CASE WHEN event_id % 11 <> 0 THEN concat('fp-', user_id, '-', event_id % 3) END AS fingerprint,
       concat('Failed ', chr(CAST(97 + user_id % 26 AS INT)), chr(CAST(97 + event_id % 26 AS INT)), ' after ', event_id) AS title,
       {ERROR_SHAPE}, event_id % 9 AS count, event_id % 10 <> 0 AS app_frames, event_id % 13 = 0 AS bot_4xx, ts
     FROM {{events}} WHERE event_type = 'error'"""
 KNOWN_ISSUES = f"""
-    SELECT event_id AS number, concat('fp-', user_id, '-', event_id % 50) AS fingerprint,
+    SELECT event_id AS number, CASE WHEN event_id % 5 <> 0 THEN concat('fp-', user_id, '-', event_id % 50) END AS fingerprint,
       concat('Failed ', chr(CAST(97 + user_id % 26 AS INT)), chr(CAST(97 + event_id % 26 AS INT)), ' after ', event_id) AS title,
       {ERROR_SHAPE}
     FROM {{events}} WHERE event_type = 'signup'"""
@@ -277,7 +277,7 @@ REPEAT_EXISTING = """
     f"""
     WITH a AS ({as_sql(REPEAT_ACTIONS)}), x AS ({as_sql(REPEAT_EXISTING)}),
     mk AS (SELECT target, marker, bool_or(is_open) AS o FROM x GROUP BY 1, 2), tg AS (SELECT DISTINCT target, true AS any_mark FROM x),
-    r AS (SELECT action_id, count(*) AS n FROM a JOIN x ON a.target = x.target AND a.marker = x.marker AND x.at <= a.at
+    r AS (SELECT action_id, count(*) AS n FROM a JOIN x ON a.target = x.target AND a.marker = x.marker AND x.is_open AND x.at <= a.at
       AND x.at >= a.at - INTERVAL 48 HOUR GROUP BY 1)
     SELECT action_id, kind, CASE kind WHEN 'incident' THEN CASE WHEN o THEN 'skip' ELSE 'create' END
       WHEN 'audit' THEN CASE WHEN any_mark THEN 'skip' ELSE 'create' END

@@ -139,7 +139,8 @@ DOC_PLANS = f"""
     WITH u AS (SELECT conv_id * 100 + turn AS run_id, 0 AS seq, CASE turn % 3 WHEN 0 THEN 'docs/a.md' WHEN 1 THEN 'README.md' ELSE 'src/a.py' END AS file,
         'modify' AS type, CASE turn % 3 WHEN 2 THEN 'refused' ELSE 'apply' END AS status FROM conversations WHERE conv_id % 5 <> 0
       UNION ALL SELECT conv_id * 100 + turn, 1, 'docs/b.md', 'create', CASE turn % 3 WHEN 2 THEN 'not-reached' ELSE 'apply' END
-        FROM conversations WHERE conv_id % 5 <> 0 AND conv_id % 2 = 0)
+        FROM conversations WHERE conv_id % 5 <> 0 AND conv_id % 2 = 0
+      UNION ALL SELECT conv_id * 100 + turn, NULL, NULL, NULL, 'skipped' FROM conversations WHERE conv_id % 5 = 0)
     SELECT * FROM u""",
 )
 def evaluate_docs_plans(spark, sf):
@@ -223,7 +224,7 @@ def validate_plans(spark, sf):
     "label_state",
     """
     WITH o AS (SELECT DISTINCT l_orderkey AS pr FROM lineitem),
-    b AS (SELECT pr, repo, list_filter(list_transform(string_split(labels, ','), lambda x: lower(trim(x))), lambda x: x <> '') AS l FROM v_prs),
+    b AS (SELECT pr, repo, list_filter(list_transform(string_split(labels, ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM v_prs),
     k AS (SELECT b.*, list_distinct(list_concat(l, ['bug', 'priority:p2'])) AS l1 FROM b),
     s AS (SELECT repo, pr, CASE pr % 4 WHEN 0 THEN list_filter(l1, lambda x: x NOT IN ('bug', 'patch'))
         WHEN 1 THEN list_concat(list_filter(l1, lambda x: x NOT LIKE 'priority:p_'), ['priority:p0'])
@@ -237,7 +238,7 @@ def label_state(spark, sf):
     second = F.struct(
         F.lit(2).alias("seq"),
         F.when(k == 0, "remove").when(k == 1, "set_priority").when(k == 2, "mark_duplicate").otherwise("escalate").alias("op"),
-        F.when(k == 0, F.array(F.lit("bug"), F.lit("patch"))).when(k == 1, F.array(F.lit("priority:p0"))).alias("labels"),
+        F.when(k == 0, F.array(F.lit("BUG"), F.lit("Patch"))).when(k == 1, F.array(F.lit("priority:p0"))).alias("labels"),
     )
     ops = prs.select("repo", "number", F.inline(F.array(second, first)))
     return evaluate.label_state(ops, prs)

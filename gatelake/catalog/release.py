@@ -31,7 +31,7 @@ def read_commits(spark, sf):
 
     path = shared_dir(spark, "commit-log")
     log = view(spark, sf, "v_commits").select("repo", "sha", "subject", "author", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"))
-    log.write.csv(path, sep="\t")
+    log.write.csv(path, sep="\t", quote="", escape="")
     return r.newest_commits(reader(spark, path), ["repo"]).select("repo", "sha", "subject", "author")
 
 
@@ -113,7 +113,11 @@ DRIFT = f"""
       string_agg(path, ',' ORDER BY path) FILTER (WHERE rn <= 50 AND (rn <= 20 OR ld IS NOT NULL)) AS files FROM rk GROUP BY 1)"""
 
 
-@query("doc_drift", f"WITH {DRIFT} SELECT * FROM drift")
+@query(
+    "doc_drift",
+    f"""WITH {DRIFT} SELECT repo, coalesce(code_files, 0) AS code_files, coalesce(drift, false) AS drift, coalesce(files, '') AS files
+      FROM (SELECT DISTINCT repo FROM ch) LEFT JOIN drift USING (repo)""",
+)
 def doc_drift(spark, sf):
     return r.doc_drift(project(spark, sf, CHANGES))
 
@@ -144,11 +148,7 @@ BUDGET_FILES = """
     SELECT repo, path, size_bytes, cost, greatest(0, least(cost, 30720 - (upto - cost))) AS used FROM w""",
 )
 def context_budget(spark, sf):
-    from pyspark.sql import Window
-
-    by_path = Window.partitionBy("repo").orderBy("path")
-    files = project(spark, sf, BUDGET_FILES).withColumn("rn", F.row_number().over(by_path)).filter("rn <= 50").drop("rn")
-    return r.context_budget(files)
+    return r.context_budget(project(spark, sf, BUDGET_FILES))
 
 
 @query(

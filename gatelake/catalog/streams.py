@@ -152,11 +152,24 @@ def stream_followups(spark, sf):
     return run_timers(q.stream_delayed(entries), "followups").drop("queued_us")
 
 
-@query("stream_verify_fix")
+@query(
+    "stream_verify_fix",
+    """
+    WITH f AS (SELECT pr, deployed_at, unnest(list_distinct(regexp_extract_all(CASE WHEN body LIKE 'no %' THEN '' ELSE body END, '#([0-9]+)', 1))) AS ref
+      FROM v_fix_deploys),
+    e AS (SELECT event_id, CAST(ref AS VARCHAR) AS ref, ts FROM v_errors),
+    hit AS (SELECT f.pr, f.ref, f.deployed_at, e.event_id FROM f JOIN e ON e.ref = f.ref AND e.ts > f.deployed_at AND e.ts <= f.deployed_at + INTERVAL 1 DAY),
+    mark AS (SELECT least((SELECT max(deployed_at) FROM v_fix_deploys), (SELECT max(ts) FROM v_errors)) - INTERVAL 5 MINUTE AS wm)
+    SELECT pr, ref, strftime(deployed_at, '%Y-%m-%d %H:%M:%S') AS deployed_at, event_id FROM (
+      SELECT * FROM hit UNION ALL
+      SELECT f.pr, f.ref, f.deployed_at, NULL FROM f ANTI JOIN hit ON hit.pr = f.pr AND hit.ref = f.ref AND hit.deployed_at = f.deployed_at
+      WHERE f.deployed_at + INTERVAL 1 DAY < (SELECT wm FROM mark))""",
+)
 def stream_verify_fix(spark, sf):
-    """Rows without an event appear once the watermark has passed their window."""
+    """Rows without an event appear once the watermark of both inputs has passed their window."""
     errors = stream_view(spark, sf, "v_errors").withColumn("ref", F.col("ref").cast("string"))
-    return run_available(t.stream_verify_fix(stream_view(spark, sf, "v_fix_deploys"), errors, "1 day"), "verify-fix")
+    out = run_available(t.stream_verify_fix(stream_view(spark, sf, "v_fix_deploys"), errors, "1 day"), "verify-fix")
+    return out.withColumns(stamp("deployed_at"))
 
 
 @query(
@@ -174,11 +187,20 @@ def stream_commands(spark, sf):
     return run_available(t.stream_commands(twice), "commands").select("comment_id", "command", "authorized")
 
 
-@query("stream_repeat_suppression", f"SELECT DISTINCT target, marker FROM ({as_sql(REPEAT_ACTIONS)})")
+@query(
+    "stream_repeat_suppression",
+    f"""
+    WITH a AS ({as_sql(REPEAT_ACTIONS)}),
+    g AS (SELECT *, CASE WHEN "at" - lag("at") OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM a WINDOW w AS (PARTITION BY target, marker ORDER BY "at")),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY target, marker ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS run FROM g),
+    r AS (SELECT target, marker, min("at") AS first_at, max("at") AS last_at, count(*) AS n_failures FROM i GROUP BY target, marker, run)
+    SELECT target, marker, strftime(first_at, '%Y-%m-%d %H:%M:%S') AS at, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_at, n_failures
+    FROM r WHERE last_at + INTERVAL 6 HOUR <= (SELECT max("at") FROM a) - INTERVAL 5 MINUTE""",
+)
 def stream_repeat_suppression(spark, sf):
-    """The table arrives as one batch, so each failure is reported once."""
+    """Runs of failures that are over by the final watermark."""
     out = run_available(t.stream_repeat_suppression(stream_project(spark, sf, REPEAT_ACTIONS)), "repeats")
-    return out.select("target", "marker")
+    return out.withColumns(stamp("at", "last_at"))
 
 
 SESSIONS = f"""

@@ -186,21 +186,23 @@ def detect_stack(spark, sf):
     return tp.detect_stack(project(spark, sf, MARKERS))
 
 
-LABEL_RULES = {"docs": ["**/*.md", "**/*.mdx"], "backend": ["en/**/*.py", "**/*.go"], "frontend": ["*/*/app.t?"]}
+LABEL_RULES = {"Docs": ["**/*.md", "**/*.mdx"], "backend": ["en/**/*.py", "**/*.go"], "frontend": ["*/*/app.t?"]}
 
 
 @query(
     "label_prs",
     r"""
     WITH p AS (SELECT page_id, list_filter(string_split(labels, ','), lambda x: x <> '') AS cur,
-        list_filter([CASE WHEN regexp_matches(path, '\.mdx?$') THEN 'docs' END,
+        list_filter([CASE WHEN regexp_matches(path, '\.mdx?$') THEN 'Docs' END,
           CASE WHEN regexp_matches(path, '^en/(.*/)?[^/]*\.py$|\.go$') THEN 'backend' END,
           CASE WHEN regexp_matches(path, '^[^/]*/[^/]*/app\.t[^/]$') THEN 'frontend' END], lambda x: x IS NOT NULL) AS want
       FROM v_paths),
-    k AS (SELECT *, list_filter(cur, lambda x: x NOT IN ('docs', 'backend', 'frontend') OR list_contains(want, x)) AS kept FROM p),
-    f AS (SELECT *, list_sort(list_distinct(list_concat(kept, want))) AS fin FROM k)
+    lw AS (SELECT *, list_transform(want, lambda x: lower(x)) AS lwant FROM p),
+    k AS (SELECT *, list_filter(cur, lambda x: x NOT IN ('docs', 'backend', 'frontend') OR list_contains(lwant, x)) AS kept,
+      list_filter(want, lambda x: NOT list_contains(cur, lower(x))) AS fresh FROM lw),
+    f AS (SELECT *, list_sort(list_concat(kept, fresh)) AS fin FROM k)
     SELECT page_id, array_to_string(fin, ',') AS labels,
-      array_to_string(list_sort(list_filter(want, lambda x: NOT list_contains(cur, x))), ',') AS added,
+      array_to_string(list_sort(fresh), ',') AS added,
       array_to_string(list_sort(list_filter(cur, lambda x: NOT list_contains(fin, x))), ',') AS removed FROM f""",
 )
 def label_prs(spark, sf):

@@ -112,8 +112,14 @@ def latency_percentiles(latency: DataFrame, keys: Sequence[str] = ("service", "r
 
 
 def perf_regression(percentiles: DataFrame, threshold: float = 30.0, enforce: bool = False) -> DataFrame:
-    """p95 change against the previous run of the service, one decimal place."""
-    runs = Window.partitionBy("service").orderBy("run_id")
+    """p95 change against the previous run of the service, one decimal place.
+
+    Runs follow each other by ``run_ts`` where the input has it, then by run id;
+    ids that are numbers are compared as numbers.
+    """
+    when = ["run_ts"] if "run_ts" in percentiles.columns else []
+    number = F.col("run_id").cast("string").try_cast("bigint")
+    runs = Window.partitionBy("service").orderBy(*when, number, "run_id")
     base = F.col("baseline_p95")
     first = base.isNull() | (base == 0)
     change = F.when(~first, F.round((F.col("p95") - base) * 100.0 / base, 1))
@@ -127,10 +133,15 @@ def perf_regression(percentiles: DataFrame, threshold: float = 30.0, enforce: bo
 
 
 def coverage_gate(percent: DataFrame, threshold: float = 80.0) -> DataFrame:
-    """Coverage verdict; ``mode`` is a column (pr is advisory, stg and prd block)."""
-    below = F.col("coverage_percent") < F.lit(threshold)
+    """Coverage verdict; ``mode`` is a column (pr is advisory, stg and prd block).
+
+    Without a percentage the report had an unknown format: that never passes.
+    """
+    percent_known = F.col("coverage_percent").isNotNull()
+    below = ~F.coalesce(F.col("coverage_percent") >= F.lit(threshold), F.lit(False))
     verdict = (
-        F.when(~below, "ok")
+        F.when(~percent_known, "unknown-format")
+        .when(~below, "ok")
         .when(F.col("mode") == "pr", "warning")
         .when(F.col("mode").isin("stg", "prd"), "blocking")
         .otherwise("unknown-mode")
@@ -212,14 +223,14 @@ def precheck(deploys: DataFrame, rate_gate: DataFrame, now: str, observation_min
 
 
 def gate_matrix(job_results: DataFrame, gates: Sequence[str] = PULL_REQUEST_GATES) -> DataFrame:
-    """One row per run: raw result of each gate (absent is skipped) and whether it succeeded.
+    """One row for every run: raw result of each gate (absent is skipped) and whether it succeeded.
 
     When a job ran several times the latest start counts.
     """
     last = {
         g: F.max(F.when(F.col("job") == g, F.struct("started_at", "conclusion"))).getField("conclusion") for g in gates
     }
-    wide = job_results.filter(F.col("job").isin(*gates)).groupBy("repo", "run_id").agg(
+    wide = job_results.groupBy("repo", "run_id").agg(
         *[F.coalesce(col, F.lit("skipped")).alias(f"{g}_result") for g, col in last.items()]
     )
     return wide.withColumns({f"{g}_passed": F.col(f"{g}_result") == "success" for g in gates})

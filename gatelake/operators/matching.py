@@ -219,7 +219,9 @@ def _match_keys(fingerprint: str, title: str, exc_class: str, frames: str) -> Co
     top = F.sort_array(F.array_distinct(F.slice(frames, 1, 5)))
 
     def key(strength: int, *parts: Column) -> Column:
-        return F.struct(F.lit(strength).alias("strength"), F.concat_ws("\x1f", F.lit(str(strength)), *parts).alias("key"))
+        # A part that is missing equals nothing, so there is no key with it.
+        whole = F.concat(F.lit(str(strength)), *[x for p in parts for x in (F.lit("\x1f"), p)])
+        return F.when(whole.isNotNull(), F.struct(F.lit(strength).alias("strength"), whole.alias("key")))
 
     plain = F.regexp_replace(F.lower(F.col(title)), "[0-9]+", "#")
     keys = [key(9, F.col(fingerprint)), key(4, F.col(exc_class), plain)]
@@ -262,7 +264,9 @@ def dedupe_errors(errors: DataFrame, issues: DataFrame) -> DataFrame:
         .groupBy(*look)
         .agg(F.max(F.struct("strength", (-F.col("number")).alias("neg"))).alias("hit"))
     )
-    return judged.join(best, look, "left").select(
+    side = best.select(*[F.col(c).alias(f"__{c}") for c in look], "hit")
+    alike = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in look]
+    return judged.join(side, alike, "left").select(
         "error_id",
         F.when(F.col("ignored"), "ignore").when(F.col("hit").isNotNull(), "duplicate").otherwise("create").alias("decision"),
         F.when(~F.col("ignored"), -F.col("hit.neg")).alias("duplicate_of"),
@@ -486,13 +490,13 @@ def suppress_repeats(actions: DataFrame, existing: DataFrame, hours: int = REPEA
     ``actions(action_id, kind, target, marker, at)``,
     ``existing(target, marker, is_open, at)``.  incident: skip when an open item
     has the marker; audit: skip when the target has any marker; ci_failure:
-    comment when the marker appeared in the last hours; sticky: update when
+    comment when an open item got the marker in the last hours; sticky: update when
     the marker exists.
     """
     by_marker = existing.groupBy("target", "marker").agg(F.bool_or("is_open").alias("m_open"))
     by_target = existing.groupBy("target").agg(F.lit(True).alias("t_any"))
     keyed = actions.withColumn("t", micros("at"))
-    points = existing.select("target", "marker", micros("at").alias("t"), F.lit(1).alias("n"))
+    points = existing.filter("is_open").select("target", "marker", micros("at").alias("t"), F.lit(1).alias("n"))
     ci = keyed.filter("kind = 'ci_failure'").select("target", "marker", "t")
     recent = probe_timeline(points, ci, ["target", "marker"]).select("target", "marker", "t", "last_t")
     seen = F.coalesce(F.col("t") - F.col("last_t") <= hours * HOUR_US, F.lit(False))

@@ -145,7 +145,10 @@ def drift_files(commit_files: DataFrame, docs_path: str = "docs/") -> DataFrame:
 
 
 def doc_drift(commit_files: DataFrame, docs_path: str = "docs/") -> DataFrame:
-    """Repositories whose code moved on without documentation, with the first files."""
+    """Whether the code of each repository moved on without documentation, with the first files.
+
+    A repository without changed code has no file and no drift.
+    """
     changed = drift_files(commit_files, docs_path)
     by_path = Window.partitionBy("repo").orderBy("path")
     counts = changed.groupBy("repo").agg(
@@ -161,18 +164,27 @@ def doc_drift(commit_files: DataFrame, docs_path: str = "docs/") -> DataFrame:
         .agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("files"))
     )
     quiet = F.coalesce(F.col("last_mdx") <= F.col("last_doc"), F.lit(True))
-    return counts.join(listed, "repo").select(
-        "repo", "code_files", (F.col("last_doc").isNull() | quiet).alias("drift"), "files"
+    drift = F.col("code_files").isNotNull() & (F.col("last_doc").isNull() | quiet)
+    return (
+        commit_files.select("repo")
+        .distinct()
+        .join(counts, "repo", "left")
+        .join(listed, "repo", "left")
+        .select("repo", F.coalesce("code_files", F.lit(0)).alias("code_files"), drift.alias("drift"), F.coalesce("files", F.lit("")).alias("files"))
     )
 
 
-def context_budget(files: DataFrame, per_file: int = FILE_BYTES, total: int = CONTEXT_BYTES) -> DataFrame:
+def context_budget(
+    files: DataFrame, per_file: int = FILE_BYTES, total: int = CONTEXT_BYTES, listed: int = DRIFT_FILES
+) -> DataFrame:
     """Bytes of each listed file that fit the context, in path order.
 
-    ``files(repo, path, size_bytes)`` holds the capped list of a repository
-    (fifty files at most).  A file costs a header line, its first bytes and a
+    ``files(repo, path, size_bytes)``; the first ``listed`` paths of a
+    repository are its list.  A file costs a header line, its first bytes and a
     line end; the sum over the list is cut at ``total``.
     """
+    rank = F.row_number().over(Window.partitionBy("repo").orderBy("path"))
+    files = files.withColumn("__rank", rank).filter(F.col("__rank") <= listed).drop("__rank")
     upto = Window.partitionBy("repo").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
     cost = F.octet_length(F.concat(F.lit("=== "), "path", F.lit(" ===\n"))) + F.least("size_bytes", F.lit(per_file)) + 1
     return (

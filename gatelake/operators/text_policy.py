@@ -28,6 +28,26 @@ def parse_labels(text: Column | str) -> Column:
     return F.filter(items, lambda x: x != "")
 
 
+def spelled_labels(text: Column | str) -> Column:
+    """Labels of a list as they are written, trimmed; of spellings that differ in case the first."""
+    items = F.filter(F.transform(F.split(_col(text), "[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
+    lower = F.transform(items, lambda x: F.lower(x))
+    return F.filter(items, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+
+
+def strict_json(text: Column | str) -> Column:
+    """The text as VARIANT, NULL unless all of it is one JSON value.
+
+    The parser stops after the first value and ignores the rest.  Inside an
+    array and inside an object a rest is an error; what closes one of the two
+    early does not close the other.
+    """
+    plain = _col(text)
+    in_list = F.try_parse_json(F.concat(F.lit("["), plain, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), plain, F.lit("}")))
+    return F.when(in_list.isNotNull() & in_object.isNotNull(), F.try_parse_json(plain))
+
+
 def is_trusted(association: Column | str) -> Column:
     return F.coalesce(_col(association).isin(*P.TRUSTED_ASSOCIATIONS), F.lit(False))
 
@@ -139,7 +159,7 @@ def audit_file_policy(files: DataFrame) -> DataFrame:
     dotenv = ((name == ".env") | F.startswith(name, F.lit(".env."))) & ~name.isin(*P.DOTENV_ALLOWED)
     text_file = F.col("path").rlike(P.extension_pattern(P.TEXT_EXTENSIONS))
     bad_json = (
-        F.col("path").rlike(r"\.json$") & (F.trim("content") != "") & F.try_parse_json("content").isNull()
+        F.col("path").rlike(r"\.json$") & (F.trim("content") != "") & strict_json("content").isNull()
     )
     found = {
         "dotenv": dotenv,
@@ -233,7 +253,8 @@ def label_prs(files: DataFrame, rules: Mapping[str, Sequence[str]], keys: Sequen
     """Labels from path globs; with ``sync`` rule labels without a match are removed.
 
     ``files`` repeats the current ``labels`` of the request on each path row.
-    The rules become one flag per label, so no join is made.
+    The rules become one flag per label, so no join is made.  Labels are
+    compared without their case; current ones keep their spelling.
     """
     regex = {label: "|".join(P.glob_to_regex(g) for g in globs) for label, globs in rules.items()}
     hits = [F.bool_or(F.col("path").rlike(rx)).alias(f"__hit{i}") for i, rx in enumerate(regex.values())]
@@ -241,13 +262,19 @@ def label_prs(files: DataFrame, rules: Mapping[str, Sequence[str]], keys: Sequen
     wanted = F.filter(
         F.array(*[F.when(F.col(f"__hit{i}"), F.lit(label)) for i, label in enumerate(regex)]), lambda x: x.isNotNull()
     )
-    current = parse_labels("labels")
-    kept = F.array_except(current, F.array_except(F.array(*[F.lit(x) for x in regex]), wanted)) if sync else current
-    return grouped.select(
+    listed = grouped.select(*keys, spelled_labels(F.coalesce("labels", F.lit(""))).alias("__current"), wanted.alias("__wanted"))
+    same = lambda xs: F.transform(xs, lambda x: F.lower(x))
+    within = lambda x, xs: F.array_contains(same(xs), F.lower(x))
+    ruled = F.array(*[F.lit(x.lower()) for x in regex])
+    current, wished = F.col("__current"), F.col("__wanted")
+    stays = lambda x: ~F.array_contains(ruled, F.lower(x)) | within(x, wished)
+    kept = F.filter(current, stays) if sync else current
+    added = F.filter(wished, lambda x: ~within(x, current))
+    return listed.select(
         *keys,
-        F.array_join(F.sort_array(F.array_union(kept, wanted)), ",").alias("labels"),
-        F.array_join(F.sort_array(F.array_except(wanted, current)), ",").alias("added"),
-        F.array_join(F.sort_array(F.array_except(current, F.array_union(kept, wanted))), ",").alias("removed"),
+        F.array_join(F.sort_array(F.concat(kept, added)), ",").alias("labels"),
+        F.array_join(F.sort_array(added), ",").alias("added"),
+        F.array_join(F.sort_array(F.array_except(current, kept)), ",").alias("removed"),
     )
 
 

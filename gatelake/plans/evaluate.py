@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatelake.operators.text_policy import is_trusted, parse_labels
+from gatelake.operators.text_policy import is_trusted, spelled_labels, strict_json
 from gatelake.plans import schemas as S
 
 LINES = "struct<lines:array<string>,error:string>"
@@ -47,7 +47,8 @@ def _issue_action(a: Column, now: str) -> Column:
     p, skill = a["params"], a["skill"]
     has_issue = F.col("issue_number").isNotNull() & (F.col("issue_number") != 0)
     labels, assignees = _listed(p["labels"]), _listed(p["assignees"])
-    people = F.when(F.size(assignees) > 0, assignees).otherwise(F.filter(F.array(_set(p["assignee"])), lambda x: x.isNotNull()))
+    # A list wins over the single name even when it is empty.
+    people = F.when(p["assignees"].isNotNull(), assignees).otherwise(F.filter(F.array(_set(p["assignee"])), lambda x: x.isNotNull()))
     csv = lambda xs: F.array_join(xs, ", ")
     line = lambda cond, *parts: F.when(cond, F.concat(*parts))
     priority = _first(p["priority"], F.regexp_replace(F.get(labels, 0), "^priority:", ""))
@@ -173,10 +174,10 @@ def _known_names(parsed: DataFrame, known: DataFrame | None, out: str, key: str,
     hits = (
         parsed.select("run_id", "repo", F.explode(F.array_distinct(wanted)).alias(key))
         .join(known.select("repo", key).distinct(), ["repo", key], "left_semi")
-        .groupBy("run_id")
+        .groupBy("run_id", "repo")
         .agg(F.collect_set(key).alias(out))
     )
-    return parsed.join(hits, "run_id", "left").withColumn(out, F.coalesce(out, none))
+    return parsed.join(hits, ["run_id", "repo"], "left").withColumn(out, F.coalesce(out, none))
 
 
 # -- request plans ------------------------------------------------------------------
@@ -232,7 +233,8 @@ def evaluate_docs_plans(plans: DataFrame) -> DataFrame:
     """High-confidence updates in order with their status.
 
     A path outside the documentation is refused and ends its plan: updates
-    before it are applied, later ones are not reached.
+    before it are applied, later ones are not reached.  A plan that asks to be
+    skipped or has no such update gives one row of status ``skipped``.
     """
     parsed = plans.withColumn("plan", F.from_json("plan_json", S.DOCS_PLAN))
     updates = F.when(
@@ -243,12 +245,13 @@ def evaluate_docs_plans(plans: DataFrame) -> DataFrame:
     )
     pos = F.col("seq") + 1
     status = (
-        F.when((F.col("stop") == 0) | (pos < F.col("stop")), "apply").when(pos == F.col("stop"), "refused").otherwise("not-reached")
+        F.when(F.col("u").isNull(), "skipped")
+        .when((F.col("stop") == 0) | (pos < F.col("stop")), "apply").when(pos == F.col("stop"), "refused").otherwise("not-reached")
     )
     return (
         parsed.withColumn("updates", updates)
         .withColumn("stop", refused)
-        .select("run_id", "stop", F.posexplode("updates").alias("seq", "u"))
+        .select("run_id", "stop", F.posexplode_outer("updates").alias("seq", "u"))
         .select("run_id", "seq", "u.file", "u.type", "u.section", "u.content", status.alias("status"))
     )
 
@@ -270,7 +273,7 @@ def evaluate_observe_plans(plans: DataFrame) -> DataFrame:
 def plan_violations(plan: Column | str, domain: str) -> Column:
     """Names of the schema rules a plan breaks, empty for a valid one."""
     text = F.col(plan) if isinstance(plan, str) else plan
-    value = F.try_parse_json(text)
+    value = strict_json(text)
     typed = F.from_json(text, S.TYPED_PLAN)
     kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("MISSING"))
     at = lambda path: F.try_variant_get(value, path, "variant")
@@ -334,6 +337,7 @@ def label_state(ops: DataFrame, issues: DataFrame) -> DataFrame:
     mark_duplicate or escalate; ``issues(repo, number, labels)``.  The last
     operation that touches a label decides, so the ordered fold is a maximum
     per label and an issue with many operations is reduced before the shuffle.
+    Labels are one label whatever their case, in the spelling they had first.
     """
     touch = lambda name, step, present: F.struct(name.alias("label"), F.lit(step).alias("step"), F.lit(present).alias("present"))
     each = lambda names, step, present: F.transform(names, lambda x: touch(x, step, present))
@@ -354,12 +358,13 @@ def label_state(ops: DataFrame, issues: DataFrame) -> DataFrame:
         "repo",
         "number",
         F.lit(-(1 << 62)).alias("seq"),
-        F.inline_outer(each(parse_labels(F.coalesce("labels", F.lit(""))), 1, True)),
+        F.inline_outer(each(spelled_labels(F.coalesce("labels", F.lit(""))), 1, True)),
     )
+    spelling = F.min_by("label", F.when(F.col("present"), F.struct("seq", "step")))
     final = (
         start.unionByName(changes)
-        .groupBy("repo", "number", "label")
-        .agg(F.max(F.struct("seq", "step", "present"))["present"].alias("present"))
+        .groupBy("repo", "number", F.lower("label").alias("key"))
+        .agg(F.max(F.struct("seq", "step", "present"))["present"].alias("present"), spelling.alias("label"))
     )
     labels = F.array_join(F.sort_array(F.collect_list(F.when(F.col("present"), F.col("label")))), ",")
     known = issues.select("repo", "number").distinct()

@@ -28,7 +28,8 @@ def resolve_prompts(requests: DataFrame, prompts: DataFrame, commands: str = "co
         .when(F.col("source") == "caller", F.col("caller_path"))
         .when(F.col("source") == "builtin", builtin)
     )
-    known = prompts.select("path", F.col("text").alias("__text"))
+    # Of several texts of a path the first in order counts.
+    known = prompts.groupBy("path").agg(F.min("text").alias("__text"))
     return (
         requests.withColumn("source", source)
         .withColumn("path", path)
@@ -43,8 +44,11 @@ def render_prompts(requests: DataFrame, text: str = "text", context: str = "cont
     """Fill ``{{ key }}`` from the context map, then from the automatic map; unknown keys stay."""
 
     def fill(acc: Column, entry: Column) -> Column:
+        # A key stands for itself, not for a pattern; a missing value fills nothing.
+        name = F.concat(F.lit("\\Q"), F.replace(entry["key"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
         quoted = F.regexp_replace(F.regexp_replace(entry["value"], r"\\", r"\\\\"), r"\$", r"\\\$")
-        return F.regexp_replace(acc, F.concat(F.lit(r"\{\{\s*"), entry["key"], F.lit(r"\s*\}\}")), quoted)
+        filled = F.regexp_replace(acc, F.concat(F.lit(r"\{\{\s*"), name, F.lit(r"\s*\}\}")), quoted)
+        return F.coalesce(filled, acc)
 
     entries = F.concat(F.map_entries(context), F.map_entries(automatic))
     return requests.withColumn("rendered", F.aggregate(entries, F.col(text), fill))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,8 +28,30 @@ RUNTIME_CONF = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application.
+
+    Functions of the package are pickled by name, and a worker may be started
+    anywhere; the archive goes through Spark's own file server.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_gatelake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        folder = tempfile.mkdtemp(prefix="gatelake-code-")
+        archive = os.path.join(folder, "gatelake_code.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        sc.addPyFile(archive)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc._gatelake_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators depend on to an existing session."""
+    ship_package(spark)
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -51,18 +79,26 @@ def local_session(
     return configure(spark)
 
 
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="gatelake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir`` that every executor sees.
 
-    Only a local master may fall back to a folder of this machine.
+    Where the setting is missing, a session of one process (master ``local``)
+    gets a folder of its own, which is removed when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="gatelake-")
+        base = _own_folder()
     return os.path.join(base, purpose, uuid.uuid4().hex)
 
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatelake.operators.text_policy import strict_json
+
 # Fixed values -------------------------------------------------------------
 COMMIT_SCHEMA = "repo string, sha string, subject string, author string, ts timestamp"
 STATS_SCHEMA = (
@@ -50,8 +52,8 @@ def read_env_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_commits(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated commit log with one line per commit."""
-    return spark.read.schema(COMMIT_SCHEMA).csv(path, sep="\t")
+    """Tab-separated commit log with one line per commit; quotes are part of a subject."""
+    return spark.read.schema(COMMIT_SCHEMA).csv(path, sep="\t", quote="", escape="")
 
 
 # -- event envelope --------------------------------------------------------------
@@ -274,22 +276,24 @@ def read_coverage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shape_transcripts(files: DataFrame) -> DataFrame:
-    """``(run_id, line_no, raw, shape)`` from whole transcripts ``(run_id, content)``.
+    """``(run_id, line_no, raw, shape, bad)`` from whole transcripts ``(run_id, content)``.
 
-    jsonl gives one row per line; a single JSON document or plain text stays
-    one row.
+    One JSON document is one row, as is plain text. Otherwise a text with a
+    line that is a JSON object or array gives one row per line; a line that is
+    cut off or no JSON at all is marked ``bad`` and does not spoil the others.
     """
     lines = F.filter(F.split("content", "\n"), lambda x: F.trim(x) != "")
-    records = F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
+    record = lambda x: F.ltrim(x).rlike(r"^[\[{]") & strict_json(x).isNotNull()
     shape = (
         F.when(F.trim("content") == "", "text")
-        .when((F.size(lines) > 1) & records, "jsonl")
-        .when(F.try_parse_json("content").isNotNull(), "json")
+        .when(strict_json("content").isNotNull(), "json")
+        .when(F.exists(lines, record), "jsonl")
         .otherwise("text")
     )
     shaped = files.withColumn("shape", shape)
     parts = F.when(F.col("shape") == "jsonl", lines).otherwise(F.array("content"))
-    return shaped.select("run_id", "shape", F.posexplode(parts).alias("line_no", "raw"))
+    rows = shaped.select("run_id", "shape", F.posexplode(parts).alias("line_no", "raw"))
+    return rows.withColumn("bad", (F.col("shape") == "jsonl") & strict_json("raw").isNull())
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:

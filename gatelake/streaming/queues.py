@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -100,7 +101,8 @@ class DelayQueue(StatefulProcessor):
     """One pending entry per key with a processing-time timer.
 
     A newer entry replaces the pending one; an entry without a readable due
-    time fires at once.  Batches of a key are reduced chunk by chunk.
+    time fires at once; one without a queue time (-1 in the result) leaves as
+    ``invalid`` and touches no other.  Batches of a key are reduced chunk by chunk.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -110,10 +112,22 @@ class DelayQueue(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest = self.entry.get() if self.entry.exists() else None
         for chunk in rows:
+            unordered = chunk[chunk["queued_us"].isna()]
+            if len(unordered):
+                # Without a queue time a record can't replace or be replaced: it leaves as it is.
+                yield pd.DataFrame({
+                    "key": key[0], "fire_at": unordered["fire_at"], "queued_us": pd.Series(-1, unordered.index),
+                    "payload": unordered["payload"], "reason": "invalid",
+                })
+            chunk = chunk[chunk["queued_us"].notna()]
+            if not len(chunk):
+                continue
             last = chunk.sort_values(["queued_us", "payload"]).iloc[-1]
             if newest is None or last["queued_us"] >= newest[1]:
                 due = None if pd.isna(last["fire_ms"]) else int(last["fire_ms"])
                 newest = (due, int(last["queued_us"]), last["fire_at"], last["payload"])
+        if newest is None:
+            return
         now = timerValues.getCurrentProcessingTimeInMs()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -163,12 +177,14 @@ def stream_delayed(entries: DataFrame) -> DataFrame:
 # -- queue table ----------------------------------------------------------------------
 
 
-def upsert_queue(batch: DataFrame, batch_id: int, path: str) -> None:
+def upsert_queue(batch: DataFrame, batch_id: int, path: str, run: str) -> None:
     """Write one micro-batch of requests as its own partition.
 
-    The partition is replaced as a whole, so a repeated batch changes nothing.
+    ``run`` names the checkpoint of the stream: batch numbers start again with a
+    new checkpoint, and must not meet those of an earlier one.  The partition is
+    replaced as a whole, so a repeated batch of a run changes nothing.
     """
-    newest_per_digest(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    newest_per_digest(batch).write.mode("overwrite").parquet(f"{path}/batch={run}-{batch_id}")
 
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame:
@@ -177,5 +193,5 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_queue(spark: SparkSession, path: str, target: str) -> None:
-    """Rewrite the current queue as the first batch of a new table."""
-    read_queue(spark, path).write.mode("overwrite").parquet(f"{target}/batch=0")
+    """Rewrite the current queue as one batch of a new table, under a name no stream can have."""
+    read_queue(spark, path).write.parquet(f"{target}/batch=base-{uuid.uuid4().hex}")

@@ -53,12 +53,15 @@ def run_timers(stream: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def run_batches(stream: DataFrame, purpose: str, write: Callable[[DataFrame, int, str], None]) -> str:
-    """Process everything available through ``write(batch, batch_id, path)``; returns the path."""
+def run_batches(stream: DataFrame, purpose: str, write: Callable[[DataFrame, int, str, str], None]) -> str:
+    """Process everything available through ``write(batch, batch_id, path, run)``; returns the path.
+
+    ``run`` is the name of the folder that holds the checkpoint.
+    """
     base = shared_dir(stream.sparkSession, purpose)
-    path = f"{base}/out"
+    path, run = f"{base}/out", base.rstrip("/").rsplit("/", 1)[-1]
     query = (
-        stream.writeStream.foreachBatch(lambda batch, batch_id: write(batch, batch_id, path))
+        stream.writeStream.foreachBatch(lambda batch, batch_id: write(batch, batch_id, path, run))
         .option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True)
         .start()

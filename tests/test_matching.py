@@ -164,7 +164,7 @@ def test_repeats(spark):
     )
     cases = [
         ("incident", "i1", "run:1", 10, "skip"), ("incident", "i1", "run:2", 10, "create"), ("audit", "i1", "run:9", 10, "skip"),
-        ("audit", "i2", "run:1", 10, "create"), ("ci_failure", "i1", "run:2", 360, "comment"), ("ci_failure", "i1", "run:2", 361, "create"),
+        ("audit", "i2", "run:1", 10, "create"), ("ci_failure", "i1", "run:1", 360, "comment"), ("ci_failure", "i1", "run:1", 361, "create"),
         ("sticky", "i1", "run:2", 1, "update"), ("sticky", "i1", "run:3", 1, "create"),
     ]
     df = spark.createDataFrame([(i, *c[:3], minutes(c[3])) for i, c in enumerate(cases)], "action_id int, kind string, target string, marker string, at timestamp")

@@ -64,12 +64,16 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     rows = [("d", i, f"a{i}", "x", 30, at(hours=i)) for i in range(4)] + [("e", 9, "z", "x", 30, T0)]
     df = spark.createDataFrame(rows, QUEUE)
     path = str(tmp_path / "queue")
-    q.upsert_queue(df.filter("entry_id < 2 OR entry_id = 9"), 0, path)
-    q.upsert_queue(df.filter("entry_id >= 2"), 1, path)
+    q.upsert_queue(df.filter("entry_id < 2 OR entry_id = 9"), 0, path, "first")
+    q.upsert_queue(df.filter("entry_id >= 2"), 1, path, "first")
     before = sorted(map(tuple, q.read_queue(spark, path).collect()))
-    q.upsert_queue(df.filter("entry_id < 2 OR entry_id = 9"), 0, path)
+    q.upsert_queue(df.filter("entry_id < 2 OR entry_id = 9"), 0, path, "first")
     assert sorted(map(tuple, q.read_queue(spark, path).collect())) == before
     assert {x.digest: x.app for x in q.read_queue(spark, path).collect()} == {"d": "a3", "e": "z"}
+    # A stream with a new checkpoint starts at batch 0 again and replaces nothing.
+    q.upsert_queue(spark.createDataFrame([("f", 1, "new", "x", 30, T0)], QUEUE), 0, path, "second")
+    assert {x.digest for x in q.read_queue(spark, path).collect()} == {"d", "e", "f"}
+    before = sorted(map(tuple, q.read_queue(spark, path).collect()))
     q.compact_queue(spark, path, str(tmp_path / "compact"))
     assert sorted(map(tuple, q.read_queue(spark, str(tmp_path / "compact")).collect())) == before
 
