@@ -116,9 +116,9 @@ def mix(documents: DataFrame, key: str, size: str, source: str, share: float = 1
 
     The rates minimise the relative entropy to one copy each, bounded by two
     copies, under one token constraint per source. Copies come from one running
-    sum of rates per source, in order of size, cut at whole numbers: copies of a
-    source differ from its expected count by less than one and its tokens from
-    the target by no more than its largest document. Rows of one source and size
+    sum of rates per source, in order of size, cut at whole numbers, so tokens are
+    off by no more than the largest document; then a few documents change by one
+    copy until the gap is smaller than any that could still change. Rows of one source and size
     are dealt into buckets by a hash of the key, and only bucket counts are summed
     along a source. A null size counts as 0, a null source is a source of its own;
     equal rows are counted before the shuffle and told apart by number only. An
@@ -167,17 +167,59 @@ def mix(documents: DataFrame, key: str, size: str, source: str, share: float = 1
         starts,
         F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b")),
     )
+    whole = lambda c: F.shiftright(c + STEPS // 2, STEP_BITS)
+    upto = F.col("before") + F.col("nth") * F.col("steps")
+    numbered = numbered.withColumn("given", whole(upto) - whole(upto - F.col("same") * F.col("steps")))
+    numbered = _with_corrections(cut_lineage(numbered.drop("s", "z", "b"), "mixing"))
     # Equal rows were counted as one; each gets a number of its own again.
     numbered = numbered.withColumn("nth", F.explode(F.sequence(F.col("nth") - F.col("same") + 1, F.col("nth"))))
-    upto = F.col("before") + F.col("nth") * F.col("steps")
-    whole = lambda c: F.shiftright(c + STEPS // 2, STEP_BITS)
-    copies = (whole(upto) - whole(upto - F.col("steps"))).cast("int")
+    copies = (whole(upto) - whole(upto - F.col("steps")) + F.col("more")).cast("int")
     return numbered.select(
         F.col("key").alias(key), F.col("size").alias("size"), F.col("source").alias("source"), "source_size",
         "target", (F.col("steps") / STEPS).alias("rate"), copies.alias("copies"),
     )
 
 
+def _with_corrections(numbered: DataFrame) -> DataFrame:
+    """Adds ``more``: one copy more or less for the few documents that close a source's gap.
+
+    Whole copies leave a source up to one document away from its target. From the
+    largest size down, as many documents as still fit into the gap change by one
+    copy; those of the first bucket of a size that stand for one row can change.
+    One array per source holds its distinct sizes.
+    """
+    gaps = numbered.groupBy("source").agg(
+        (F.round(F.first("target")).cast("long") - F.sum(F.col("given") * F.col("size")).cast("long")).alias("gap")
+    )
+    gaps = cut_lineage(gaps.select(F.col("source").alias("s"), "gap"), "mixing")
+    can = (F.col("bucket") == 0) & (F.col("same") == 1) & (F.col("size") > 0)
+    can &= F.when(F.col("gap") > 0, F.col("given") < MOST_COPIES).otherwise((F.col("gap") < 0) & (F.col("given") > 0))
+    rows = numbered.join(gaps, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("can", can)
+    free = rows.where("can").groupBy("source", "gap", "size").agg(F.count("*").alias("free"))
+    listed = free.groupBy("source", "gap").agg(F.sort_array(F.collect_list(F.struct("size", "free")), False).alias("sizes"))
+    none = F.expr("cast(array() as array<struct<size:bigint,changed:bigint>>)")
+
+    def take(state: Column, entry: Column) -> Column:
+        fit = F.least(entry["free"], F.floor(state["left"] / entry["size"]).cast("long"))
+        pick = F.array(F.struct(entry["size"].alias("size"), fit.alias("changed")))
+        return F.struct(
+            (state["left"] - fit * entry["size"]).alias("left"),
+            F.when(fit > 0, F.concat(state["picks"], pick)).otherwise(state["picks"]).alias("picks"),
+        )
+
+    start = F.struct(F.abs("gap").alias("left"), none.alias("picks"))
+    picks = listed.select(
+        F.col("source").alias("s"), F.signum("gap").cast("long").alias("sign"),
+        F.inline(F.aggregate("sizes", start, take)["picks"]),
+    ).withColumnRenamed("size", "z")
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket", "can").orderBy("nth"))
+    picked = rows.withColumn("rank", rank).join(
+        picks, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left"
+    )
+    chosen = F.coalesce(F.col("can") & (F.col("rank") <= F.col("changed")), F.lit(False))
+    return picked.withColumn("more", F.when(chosen, F.col("sign")).otherwise(0)).drop("s", "z", "sign", "changed", "rank")
+
+
 def apply_mix(documents: DataFrame, key: str, size: Column, source: str, share: float = 1.5) -> DataFrame:
     """The documents themselves, each as many times as its copies say, with their own columns.
 

@@ -42,7 +42,10 @@ def test_mix_meets_targets_and_is_the_same_again(spark, odd, nothing):
         assert own[0].target == pytest.approx(want[s])
         expected = sum(r.rate * r.size for r in own)
         assert expected == pytest.approx(want[s], rel=1e-4, abs=0.01)
-        assert abs(sum(r.copies * r.size for r in own) - want[s]) <= max(r.size for r in own) + 0.01 * len(own)
+        gap = sum(r.copies * r.size for r in own) - want[s]
+        assert abs(gap) <= max(r.size for r in own) + 0.01 * len(own)
+        if len(own) > 50:
+            assert abs(gap) <= 0.005 * want[s]
     assert {r.copies for r in got} <= {0, 1, 2}
     again = mixing.mix(frame.repartition(7), "doc_id", "size", "source").collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
