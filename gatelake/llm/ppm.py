@@ -7,18 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatelake.llm.words import LOWER, buffer_of, slices, span_hashes, word_spans
+from gatelake.llm.words import LOWER, buffer_of, mix, slices, span_hashes, word_spans
 from gatelake.session import cut_lineage
 
 #: Bytes of context; a context and its next byte fill 48 bits of a long.
 ORDER = 5
 #: Text bytes of the documents that ask for model values together.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
+#: Text bytes whose distinct grams and words one task sums, on average.
+BUCKET_BYTES = 4 * CHUNK_BYTES
 #: Trie leaves that one task turns into probabilities, on average.
 LEAVES_PER_TASK = 400_000
+#: Least number of such tasks.
+LEAST_TASKS = 64
 #: Ends every text and stands before it; no word holds it.
 END = 0x0A
 END_WORD = 1
@@ -72,28 +77,111 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _ask(documents: pa.Table) -> pa.Table:
-    """Every distinct gram and word of a chunk, with its count in training texts."""
-    chunk = documents.column("chunk")[0].as_py()
-    data, offsets = buffer_of(documents.column("text"))
-    learn = documents.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: []}
-    for i, j in slices(data, offsets):
-        grams, at, words, of = _stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        for kind, keys, per in ((GRAM, grams, np.diff(at)), (WORD, words, np.diff(of))):
-            train = np.repeat(learn[i:j], per)
-            seen, count = np.unique(keys[train], return_counts=True)
-            other = np.unique(keys[~train])
-            found[kind].append((np.concatenate([seen, other]), np.concatenate([count, np.zeros(len(other), np.int64)])))
-    found[WORD].append((np.array([END_WORD]), np.array([int(learn.sum())])))
-    tables = []
-    for kind, parts in found.items():
-        keys, counts = _sum_by(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        n = len(keys)
-        tables.append(pa.table({
-            "chunk": np.full(n, chunk, np.int64), "kind": np.full(n, kind, np.int32), "key": keys, "n": counts,
-        }))
-    return pa.concat_tables(tables)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Eight-byte numbers, compressed byte by byte place."""
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+
+
+def _unpacked(raw: bytes, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _sorted_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in chunks of about CHUNK_BYTES, each one compressed value."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def chunk() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in held:
+                out.write_batch(part)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "documents"]
+        )
+
+    for batch in batches:
+        _, offsets = buffer_of(batch.column(1))
+        for i, j in slices(None, offsets, CHUNK_BYTES):
+            if held and size + offsets[j] - offsets[i] > CHUNK_BYTES:
+                yield chunk()
+                held, size, number = [], 0, number + 1
+            held.append(batch.slice(i, j - i))
+            size += int(offsets[j] - offsets[i])
+    if held:
+        yield chunk()
+
+
+def _documents(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
+def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Every distinct gram and word of a chunk, with its count in training texts, by bucket of the key."""
+    for batch in batches:
+        for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            documents = _documents(raw.as_py())
+            data, offsets = buffer_of(documents.column("text"))
+            learn = documents.column("learn").to_numpy().astype(bool)
+            found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: []}
+            for i, j in slices(data, offsets):
+                grams, at, words, of = _stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for kind, keys, per in ((GRAM, grams, np.diff(at)), (WORD, words, np.diff(of))):
+                    train = np.repeat(learn[i:j], per)
+                    seen, count = np.unique(keys[train], return_counts=True)
+                    other = np.unique(keys[~train])
+                    counts = np.concatenate([count, np.zeros(len(other), np.int64)])
+                    found[kind].append((np.concatenate([seen, other]), counts))
+            found[WORD].append((np.array([END_WORD]), np.array([int(learn.sum())])))
+            for kind, parts in found.items():
+                keys, counts = _sum_by(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bucket, keys, counts = bucket[order], keys[order], counts[order]
+                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                last = np.append(first[1:], len(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(first), chunk)), pa.array(bucket[first] * 2 + kind),
+                        pa.array([_packed(np.diff(keys[a:b], prepend=0)) for a, b in zip(first, last, strict=True)],
+                                 pa.binary()),
+                        pa.array([_packed(counts[a:b]) for a, b in zip(first, last, strict=True)], pa.binary()),
+                    ],
+                    ["chunk", "bucket", "keys", "counts"],
+                )
+
+
+def _totals(asked: pa.Table) -> pa.Table:
+    """Summed counts of the keys of one bucket."""
+    bucket = asked.column("bucket")[0].as_py()
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    for more, raw in zip(asked.column("keys").to_pylist(), asked.column("counts").to_pylist(), strict=True):
+        waiting.append((_sorted_keys(more), _unpacked(raw)))
+        if sum(len(k) for k, _ in waiting) > max(1_000_000, len(keys)):
+            keys, counts = _sum_by(*(np.concatenate(x) for x in zip((keys, counts), *waiting, strict=True)))
+            waiting = []
+    keys, counts = _sum_by(*(np.concatenate(x) for x in zip((keys, counts), *waiting, strict=True)))
+    return pa.table({"bucket": np.full(len(keys), bucket), "key": keys, "n": counts})
+
+
+def _values(asked: pa.Table, values: pa.Table) -> pa.Table:
+    """For each chunk's keys of one bucket, their values."""
+    order = np.argsort(values.column("key").to_numpy(), kind="stable")
+    known, value = values.column("key").to_numpy()[order], values.column("value").to_numpy()[order]
+    found = [_packed(value[np.searchsorted(known, _sorted_keys(raw))]) for raw in asked.column("keys").to_pylist()]
+    return pa.table({
+        "chunk": asked.column("chunk"), "kind": pa.array(asked.column("bucket").to_numpy() % 2),
+        "keys": asked.column("keys"), "found": pa.array(found, pa.binary()),
+    })
 
 
 def _group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,17 +251,20 @@ def leaf_scores(keys: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarra
 
 def _score_leaves(rows: pa.Table, pairs: np.ndarray) -> pa.Table:
     keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-    return pa.table({"kind": np.full(len(keys), GRAM, np.int32), "key": keys, "value": leaf_scores(keys, n, pairs)})
+    return pa.table({"bucket": rows.column("bucket"), "key": keys, "value": leaf_scores(keys, n, pairs)})
 
 
-def _answer(documents: pa.Table, values: pa.Table) -> pa.Table:
+def _answer(chunk: pa.Table, values: pa.Table) -> pa.Table:
     """Sums of the values of each text's grams and words."""
-    kind, key, value = (values.column(c).to_numpy() for c in ("kind", "key", "value"))
+    documents = _documents(chunk.column("documents")[0].as_py())
+    kinds = values.column("kind").to_numpy()
     tables = {}
-    for which in (GRAM, WORD):
-        own = kind == which
-        order = np.argsort(key[own], kind="stable")
-        tables[which] = key[own][order], value[own][order]
+    for kind in (GRAM, WORD):
+        own = values.filter(pa.array(kinds == kind))
+        key = np.concatenate([_sorted_keys(raw) for raw in own.column("keys").to_pylist()])
+        value = np.concatenate([_unpacked(raw, np.float64) for raw in own.column("found").to_pylist()])
+        order = np.argsort(key, kind="stable")
+        tables[kind] = key[order], value[order]
     end = tables[WORD][1][np.searchsorted(tables[WORD][0], END_WORD)]
     data, offsets = buffer_of(documents.column("text"))
     n = len(offsets) - 1
@@ -204,13 +295,14 @@ def ppm_scores(documents: DataFrame, key: str, text: str, learn: Column) -> Data
     learned all rows where ``learn`` holds: the pretrained code length with sign
     changed. ``base_score`` is that of single words with add-one counts.
 
-    Documents are dealt into chunks. A chunk asks for its distinct grams and
-    words; their training counts are summed over all chunks, the leaves of the
-    trie become probabilities in groups that share two context bytes, and each
-    chunk gets back what it asked for. Nothing that grows with the corpus is
-    collected or broadcast; only 65,536 counts of byte pairs are. Words are
-    told apart by a 64-bit hash. Null texts are empty texts: an end mark. A null
-    ``learn`` counts as false. Null and repeated keys are carried along.
+    Documents are put into chunks, kept as compressed values. A chunk asks for
+    its distinct grams and words, in sorted lists by bucket of the key; their
+    training counts are summed over all chunks, the leaves of the trie become
+    probabilities in groups that share two context bytes, and each chunk gets
+    back the values of its lists. Nothing that grows with the corpus is collected
+    or broadcast; only 65,536 counts of byte pairs are. Words are told apart by a
+    64-bit hash. Null texts are empty texts: an end mark. A null ``learn`` counts
+    as false. Null and repeated keys are carried along.
     """
     rows = documents.select(
         F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
@@ -218,33 +310,37 @@ def ppm_scores(documents: DataFrame, key: str, text: str, learn: Column) -> Data
     )
     key_type = rows.schema["key"].dataType.simpleString()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, math.ceil(total / CHUNK_BYTES))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(chunks)))
+    buckets = max(LEAST_TASKS, math.ceil(total / BUCKET_BYTES))
+    chunks = cut_lineage(rows.mapInArrow(_chunks, "chunk long, documents binary"), "ppm")
     asked = cut_lineage(
-        dealt.groupBy("chunk").applyInArrow(_ask, "chunk long, kind int, key long, n long"), "ppm"
+        chunks.mapInArrow(lambda b: _ask(b, buckets), "chunk long, bucket long, keys binary, counts binary"), "ppm"
     )
-    totals = cut_lineage(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm")
-    grams, words = totals.where(F.col("kind") == GRAM), totals.where(F.col("kind") == WORD)
+    totals = cut_lineage(asked.groupBy("bucket").applyInArrow(_totals, "bucket long, key long, n long"), "ppm")
+    grams, words = totals.where(F.col("bucket") % 2 == GRAM), totals.where(F.col("bucket") % 2 == WORD)
     counts = words.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first()
     trained, kinds = int(counts[0] or 0), int(counts[1] or 0)
     pairs = np.zeros(1 << 16, np.int64)
     pair = F.col("key").bitwiseAND(F.lit(0xFFFF).cast("long"))
-    short = grams.groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).toPandas()  # at most 65,536 rows
-    pairs[short["pair"].to_numpy(np.int64)] = short["n"]
-    pairs = pairs.reshape(256, 256)
-    shared = documents.sparkSession.sparkContext.broadcast(pairs)
-    tasks = max(1, math.ceil(grams.count() / LEAVES_PER_TASK))
+    short = grams.groupBy(pair.alias("pair")).agg(F.sum("n").alias("n"), F.count("*").alias("leaves")).toPandas()
+    pairs[short["pair"].to_numpy(np.int64)] = short["n"]  # at most 65,536 rows
+    shared = documents.sparkSession.sparkContext.broadcast(pairs.reshape(256, 256))
+    tasks = max(LEAST_TASKS, math.ceil(int(short["leaves"].sum()) / LEAVES_PER_TASK))
     two = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))
     leaves = (
-        grams.select("key", "n", F.pmod(F.xxhash64(two), F.lit(tasks)).alias("task"))
+        grams.withColumn("task", F.pmod(F.xxhash64(two), F.lit(tasks)))
         .groupBy("task")
-        .applyInArrow(lambda t: _score_leaves(t, shared.value), "kind int, key long, value double")
+        .applyInArrow(lambda t: _score_leaves(t, shared.value), "bucket long, key long, value double")
+    )
+    values = leaves.union(words.select("bucket", "key", F.col("n").cast("double").alias("value")))
+    answers = (
+        asked.select("chunk", "bucket", "keys")
+        .groupBy("bucket")
+        .cogroup(values.groupBy("bucket"))
+        .applyInArrow(_values, "chunk long, kind long, keys binary, found binary")
     )
-    values = leaves.union(words.select("kind", "key", F.col("n").cast("double").alias("value")))
-    answers = asked.select("chunk", "kind", "key").join(values, ["kind", "key"])
     out = (
-        dealt.groupBy("chunk")
-        .cogroup(answers.select("chunk", "kind", "key", "value").groupBy("chunk"))
+        chunks.groupBy("chunk")
+        .cogroup(answers.groupBy("chunk"))
         .applyInArrow(
             _answer, f"key {key_type}, learn boolean, n_tokens long, n_known long, base double, score double"
         )
