@@ -77,6 +77,27 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
+class _Sums:
+    """Counts by key, merged as they come, so that memory follows the distinct keys."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.waiting.append((keys, counts))
+        self.size += len(keys)
+        if self.size > max(1_000_000, len(self.keys)):
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        parts = [(self.keys, self.counts), *self.waiting]
+        self.waiting, self.size = [], 0
+        self.keys, self.counts = _sum_by(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return self.keys, self.counts
+
+
 def _packed(numbers: np.ndarray) -> bytes:
     """Eight-byte numbers, compressed byte by byte place."""
     return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
@@ -131,7 +152,7 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
             documents = _documents(raw.as_py())
             data, offsets = buffer_of(documents.column("text"))
             learn = documents.column("learn").to_numpy().astype(bool)
-            found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: []}
+            found = {GRAM: _Sums(), WORD: _Sums()}
             for i, j in slices(data, offsets):
                 grams, at, words, of = _stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for kind, keys, per in ((GRAM, grams, np.diff(at)), (WORD, words, np.diff(of))):
@@ -139,10 +160,10 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
                     seen, count = np.unique(keys[train], return_counts=True)
                     other = np.unique(keys[~train])
                     counts = np.concatenate([count, np.zeros(len(other), np.int64)])
-                    found[kind].append((np.concatenate([seen, other]), counts))
-            found[WORD].append((np.array([END_WORD]), np.array([int(learn.sum())])))
-            for kind, parts in found.items():
-                keys, counts = _sum_by(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    found[kind].add(np.concatenate([seen, other]), counts)
+            found[WORD].add(np.array([END_WORD]), np.array([int(learn.sum())]))
+            for kind, sums in found.items():
+                keys, counts = sums.merged()
                 bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 bucket, keys, counts = bucket[order], keys[order], counts[order]
@@ -162,14 +183,10 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
 def _totals(asked: pa.Table) -> pa.Table:
     """Summed counts of the keys of one bucket."""
     bucket = asked.column("bucket")[0].as_py()
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-    for more, raw in zip(asked.column("keys").to_pylist(), asked.column("counts").to_pylist(), strict=True):
-        waiting.append((_sorted_keys(more), _unpacked(raw)))
-        if sum(len(k) for k, _ in waiting) > max(1_000_000, len(keys)):
-            keys, counts = _sum_by(*(np.concatenate(x) for x in zip((keys, counts), *waiting, strict=True)))
-            waiting = []
-    keys, counts = _sum_by(*(np.concatenate(x) for x in zip((keys, counts), *waiting, strict=True)))
+    sums = _Sums()
+    for more, raw in zip(asked.column("keys"), asked.column("counts"), strict=True):
+        sums.add(_sorted_keys(more.as_py()), _unpacked(raw.as_py()))
+    keys, counts = sums.merged()
     return pa.table({"bucket": np.full(len(keys), bucket), "key": keys, "n": counts})
 
 
