@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelake.llm.words import LOWER, buffer_of, mix, slices, span_hashes, word_spans
+from gatelake.llm.words import buffer_of, mix, slices, span_hashes, word_spans
 from gatelake.session import cut_lineage
 
 #: Token positions that a seed looks at. For every window of 8 to 20 tokens with at least 80 % equal
@@ -30,9 +30,9 @@ _OUTSIDE = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each token (A-Z in lower case) and token offsets of the texts."""
+    """Hash of each token and token offsets of the texts, which are in lower case."""
     starts, ends, of = word_spans(data, offsets, _OUTSIDE)
-    return span_hashes(LOWER[data], starts, ends), of
+    return span_hashes(data, starts, ends), of
 
 
 def _seed_hashes(tokens: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -170,8 +170,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_overlaps(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
     """``key, item_id, first_token, window, equal_tokens`` for each text and item that share a passage.
 
-    A token is a run of letters, digits or non-ASCII characters, A-Z in lower
-    case. They overlap if some ``WINDOW`` tokens of the item (all of a shorter
+    A token is a run of letters, digits or non-ASCII characters; letters of every
+    alphabet count in lower case. They overlap if some ``WINDOW`` tokens of the item (all of a shorter
     one) lie in the text without gaps and at least ``SIMILARITY`` of them are
     equal. Spaced seeds of both sides are joined on their hash; a bit set of the
     item hashes, of bounded size, only spares rows that can't join. Each seed hit
@@ -185,7 +185,7 @@ def find_overlaps(documents: DataFrame, key: str, text: str, items: DataFrame, i
     """
     kinds = [items.schema[item].dataType.simpleString(), documents.schema[key].dataType.simpleString()]
     listed = (
-        items.select(F.col(item).alias("item"), F.col(item_text).cast("string").alias("text"))
+        items.select(F.col(item).alias("item"), F.lower(F.col(item_text).cast("string")).alias("text"))
         .mapInArrow(_item_rows, f"item {kinds[0]}, tokens binary")
         .groupBy("tokens")
         .agg(F.min("item").alias("item"), F.xxhash64("tokens").alias("no"))
@@ -196,7 +196,7 @@ def find_overlaps(documents: DataFrame, key: str, text: str, items: DataFrame, i
         "decontaminate",
     )
     table = documents.sparkSession.sparkContext.broadcast(_filter(seeds))
-    texts = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    texts = documents.select(F.col(key).alias("key"), F.lower(F.col(text).cast("string")).alias("text"))
     segments = texts.mapInArrow(
         lambda batches: _segments(batches, table.value),
         f"key {kinds[1]}, begin long, tokens binary, at array<int>, h array<long>",

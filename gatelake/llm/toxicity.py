@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gatelake.llm.decontaminate import _OUTSIDE
 from gatelake.llm.labelled import labelled_sample
-from gatelake.llm.words import LOWER, buffer_of, mix, slices, span_hashes, word_spans
+from gatelake.llm.words import buffer_of, mix, slices, span_hashes, word_spans
 
 #: Features are hashed to this many weights (1 MB); it doesn't depend on the data.
 FEATURES = 1 << 18
@@ -41,13 +41,12 @@ class Severity:
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and feature of every word and of every longer word's start."""
+    """Text number and feature of every word and of every longer word's start, for texts in lower case."""
     starts, ends, of = word_spans(data, offsets, _OUTSIDE)
-    low = LOWER[data]
     text = np.repeat(np.arange(len(of) - 1), np.diff(of))
     long = ends - starts > PREFIX
-    words = span_hashes(low, starts, ends)
-    begins = mix(span_hashes(low, starts[long], starts[long] + PREFIX) + np.uint64(1))
+    words = span_hashes(data, starts, ends)
+    begins = mix(span_hashes(data, starts[long], starts[long] + PREFIX) + np.uint64(1))
     both = np.concatenate([words, begins]) & np.uint64(FEATURES - 1)
     return np.concatenate([text, text[long]]), both.astype(np.int64)
 
@@ -140,6 +139,7 @@ def train(
     """
     sample = labelled_sample(documents, key, text, labels, label, per_class)
     kind = sample.schema["key"].dataType.simpleString()
+    sample = sample.withColumn("text", F.lower("text"))
     rows = sample.mapInArrow(_sample_rows, f"key {kind}, label int, features binary, values binary").toPandas()
     rows = rows.sort_values("key", kind="stable")
     toxic = rows["label"].to_numpy() == 1
@@ -191,7 +191,7 @@ def severity(documents: DataFrame, key: str, text: str, model: Severity) -> Data
     their own; other columns and repeated keys don't matter.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = documents.select(F.col(key).alias("key"), F.lower(F.col(text).cast("string")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     scored = rows.mapInArrow(
         lambda batches: _score_rows(batches, shared.value),

@@ -97,6 +97,23 @@ def test_overlaps_with_substitutions(spark, odd, nothing):
     assert decontaminate.drop_contaminated(odd, "text", empty, "item_id", "text").count() == odd.count()
 
 
+def test_overlaps_and_toxic_words_ignore_the_case_of_every_alphabet(spark):
+    item = "élan único über ñandú où été öffnen приятно вечером читать старую книгу καλημέρα όμορφη μέρα señal días años"
+    texts = [(1, f"vor {item.upper()} nach"), (2, f"vor {item} nach"), (3, "ganz andere Wörter " * 9)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, item.upper())], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.equal_tokens for r in decontaminate.find_overlaps(
+        docs, "doc_id", "text", bench, "item_id", "text").collect()}
+    assert got == {(d, 7): brute.overlap(t.lower(), item) for d, t in texts[:2]}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, "text", bench, "item_id", "text").collect()] == [3]
+    rows = [(i, "öde zeilen hier " + ("" if i % 2 else "übeltäter"), 1 - i % 2) for i in range(80)]
+    train = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(train, "doc_id", "text", labels, "toxic")
+    loud = train.withColumn("text", F.upper("text"))
+    assert {r.doc_id for r in toxicity.drop_toxic(loud, "text", model).collect()} == set(range(1, 80, 2))
+
+
 def test_a_full_filter_changes_no_result(spark, monkeypatch):
     docs = spark.createDataFrame([(1, PROSE), (2, "nothing of it " * 30)], "doc_id long, text string")
     bench = spark.createDataFrame([(5, PROSE)], "item_id long, text string")
