@@ -199,17 +199,33 @@ def simhash_groups(documents: DataFrame, key: str, text: str, width: int = 4, ra
 
 
 def keep_one(documents: DataFrame, key: str, text: str, width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of each group's smallest key; of rows that repeat this key, one.
+    """One row of each group: of its smallest key, and of this key's texts in the group the one of smallest hash.
 
-    Of repeated rows the one with the smallest XXH64 over its sortable columns
-    stays, so reruns agree. Rows without a key can't be named: all of them stay.
+    A row is told by its key and two hashes of its text, so rows of one key in
+    other groups are judged on their own. Of rows that repeat both, the one with
+    the smallest XXH64 over its sortable columns stays, so reruns agree. Rows
+    without a key can't be named: all of them stay.
     """
-    from pyspark.sql import Window
+    name = "_row"
+    while name in documents.columns:
+        name += "_"
+    told = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
+    marked = documents.withColumn(name, F.when(F.col(key).isNotNull(), told))
+    groups = simhash_groups(marked, name, text, width, radius)
+    kept = cut_lineage(
+        groups.where(F.col(name) == F.col("component_id")).groupBy(F.col(name).alias("_kept")).agg(F.count("*").alias("_rows")),
+        "simhash",
+    )
+
+    def those(rows: DataFrame) -> DataFrame:
+        return marked.join(rows.select("_kept"), F.col(name) == F.col("_kept"), "left_semi")
 
-    groups = simhash_groups(documents, key, text, width, radius)
-    kept = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    named = documents.where(F.col(key).isNotNull())
+    found = those(kept.where("_rows = 1")).drop(name).unionByName(documents.where(F.col(key).isNull()))
+    if kept.where("_rows > 1").isEmpty():
+        return found
+    # Repeated rows are written first, so that each task reduces its own ones before they meet.
+    repeated = cut_lineage(those(kept.where("_rows > 1")), "simhash")
     hashed = [F.col(f"`{f.name}`") for f in documents.schema if "map" not in f.dataType.simpleString()]
-    one = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*hashed)))
-    found = named.join(kept, F.col(key) == F.col("_kept"), "left_semi").withColumn("_one", one).where("_one = 1")
-    return found.drop("_one").unionByName(documents.where(F.col(key).isNull()))
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    one = repeated.groupBy(name).agg(F.min_by(whole, F.xxhash64(*hashed)).alias("_one")).select("_one.*")
+    return found.unionByName(one)

@@ -61,6 +61,18 @@ def test_keep_one_keeps_columns_and_one_row_of_each_group(odd, nothing):
     assert simhash.keep_one(nothing, "doc_id", "text").count() == 0
 
 
+def test_keep_one_judges_texts_of_one_key_by_their_groups(spark):
+    river, market, tools = PROSE, "fresh bread and cheese are sold " * 6, " ".join(f"tool{i}" for i in range(40))
+    # Key 5 holds unrelated texts, one of them a copy of key 3's; others only repeat.
+    rows = [(5, market, 1), (5, river, 2), (3, river, 3), (5, tools, 4), (5, tools, 4), (5, tools, 5), (8, market, 6), (9, "", 7),
+            (9, None, 7), (None, tools, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    kept = [tuple(r) for r in simhash.keep_one(docs, "doc_id", "text").collect()]
+    assert sorted((k or 0, t or "") for k, t, _ in kept) == sorted([(5, market), (3, river), (5, tools), (9, ""), (0, tools)])
+    assert set(kept) <= set(rows)
+    assert sorted(map(str, kept)) == sorted(str(tuple(r)) for r in simhash.keep_one(docs.repartition(7), "doc_id", "text").collect())
+
+
 def test_some_seed_fits_every_allowed_window():
     for size in range(decontaminate.MIN_TOKENS, decontaminate.WINDOW + 1):
         wrong = size - math.ceil(decontaminate.SIMILARITY * size)
