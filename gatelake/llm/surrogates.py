@@ -43,10 +43,10 @@ ENDINGS = {"Latin": ("son", "er", "ini", "wood"), "Cyrillic": ("ин", "ов", "
 
 _TITLE = "|".join(sorted((t for group in TITLES.values() for t in group), key=len, reverse=True))
 _NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩΆ-ΏА-ЯЁ][\w'’-]*[a-zß-öø-ÿα-ωά-ώа-яё]"
-#: Kind, a character test that must hold before the pattern is tried, and the pattern; earlier kinds win.
+#: Kind, a cheap test that every text with a match of the pattern passes, and the pattern; earlier kinds win.
 PATTERNS = (
-    ("SECRET", re.compile(r"\d"), re.compile(r"(?i)\b(?:pass(?:word|wd)|secret|token|api[_-]?key)\b\s*[=:]\s*[\"']?([^\s\"']{6,})")),
-    ("SECRET", re.compile(r"[0-9a-f]{8}"), re.compile(r"\b([0-9a-fA-F]{32,})\b")),
+    ("SECRET", re.compile(r"(?i)pass(?:word|wd)|secret|token|api[_-]?key"), re.compile(r"(?i)\b(?:pass(?:word|wd)|secret|token|api[_-]?key)\b\s*[=:]\s*[\"']?([^\s\"']{6,})")),
+    ("SECRET", re.compile(r"[0-9a-fA-F]{32}"), re.compile(r"\b([0-9a-fA-F]{32,})\b")),
     ("EMAIL", re.compile(r"@"), re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")),
     ("IBAN", re.compile(r"\d"), re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("CARD", re.compile(r"\d"), re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])")),
@@ -131,13 +131,15 @@ class _Draw:
         value, self.left = int.from_bytes(self.left[:8], "big"), self.left[8:]
         return value % bound
 
-    def like(self, text: str) -> str:
+    def like(self, text: str, hexadecimal: bool = False) -> str:
         """Letters for letters of their script and case, digits for digits (hexadecimal stays so)."""
         is_hex = re.fullmatch(r"(?=.*[a-f])(?=.*\d)[0-9a-f]+", text)
+        if hexadecimal and not is_hex:
+            is_hex = re.fullmatch(r"(?=.*[a-fA-F])[0-9a-fA-F]{32,}", text)
         out = []
         for c in text:
             if is_hex:
-                out.append("0123456789abcdef"[self.below(16)])
+                out.append(("0123456789ABCDEF" if text.isupper() else "0123456789abcdef")[self.below(16)])
             elif c.isdigit():
                 out.append("0123456789"[self.below(10)])
             elif c.isalpha():
@@ -190,7 +192,7 @@ def draw_surrogate(kind: str, canonical: str, gender: str, key: bytes, turn: int
             return name + "".join(syllable() for _ in range(min(turn, 4) + extra))
         ending = ENDINGS[script][draw.below(4)]
         return syllable() + syllable() + syllable() + "".join(syllable() for _ in range(extra)) + ending
-    return draw.like(canonical + "0" * extra)
+    return draw.like(canonical + "0" * extra, kind == "SECRET")
 
 
 def _written_like(surrogate: str, mention: Mention, raw: str) -> str:

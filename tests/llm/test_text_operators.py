@@ -241,6 +241,17 @@ def test_surrogates(spark, odd, nothing):
     assert surrogates.replace_personal_data(nothing, "text").count() == 0
 
 
+def test_secrets_need_no_digit_or_lower_case_elsewhere():
+    key = "A1B2C3D4E5F60718A9BACBDCEDFE0F1A" + "B2C3"
+    for text, secret in (("my password: correct-horse-battery", "correct-horse-battery"), ("API-Key = abcdefgh!", "abcdefgh!"),
+                         (f"the key {key} leaked", key), ("hex " + "ABCDEF" * 6, "ABCDEF" * 6)):
+        (m,) = surrogates.find_mentions(text)
+        assert (m.kind, text[m.start : m.end]) == ("SECRET", secret)
+        new = surrogates.draw_surrogate("SECRET", secret, "N", b"k", 0)
+        assert new != secret and len(new) == len(secret)
+        assert secret.startswith(("c", "a")) or re.fullmatch("[0-9A-F]+", new)
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     # A hundred two-letter addresses: many draws collide, and some draws are real entities.
     letters = "abcdefghij"
