@@ -42,7 +42,18 @@ SYLLABLES = {
 ENDINGS = {"Latin": ("son", "er", "ini", "wood"), "Cyrillic": ("ин", "ов", "енко", "ский"), "Greek": ("ίδης", "άκης", "ου", "έας")}
 
 _TITLE = "|".join(sorted((t for group in TITLES.values() for t in group), key=len, reverse=True))
-_NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩΆ-ΏА-ЯЁ][\w'’-]*[a-zß-öø-ÿα-ωά-ώа-яё]"
+_UPPER = "".join(c for c in map(chr, [*range(0x41, 0x530), *range(0x1F00, 0x2000)]) if c.isupper())
+_NAME = rf"(?!(?:{_TITLE})\b)[{_UPPER}][\w'’-]*[^\W\d_]"
+#: Words of sentences that follow a name without a stop; they end it.
+_NO_NAME = "The|And|But|For|From|With|This|That|He|She|It|They|We|You|Und|Oder|Ein|Eine|Der|Die|Ist|Hat|Mit|Les|Et"
+#: White space inside a name; an empty line ends it.
+_GAP = r"(?!\s*\n\s*\n)\s+"
+#: Initials and particles inside a name; they stay as they are.
+_BETWEEN = rf"(?:(?:(?:[{_UPPER}]\.)+|[{_UPPER}]|von|van|zu|zur|de|del|della|di|da|du|den|der|dos|la|le|ter|bin|ibn|al){_GAP})*"
+_NAMES = rf"{_BETWEEN}{_NAME}(?:{_GAP}{_BETWEEN}(?!(?:{_NO_NAME}|{_NO_NAME.upper()})\b){_NAME})*"
+_PART = re.compile(rf"(?<![\w'’-]){_NAME}")
+_CAPITAL_WORD = re.compile(rf"(?<!\w)[{_UPPER}]\w*(?:['’-]\w+)*")
+_POSSESSIVE = re.compile(r"['’][sS]$")
 #: Kind, a cheap test that every text with a match of the pattern passes, and the pattern; earlier kinds win.
 PATTERNS = (
     ("SECRET", re.compile(r"(?i)pass(?:word|wd)|secret|token|api[_-]?key"), re.compile(r"(?i)\b(?:pass(?:word|wd)|secret|token|api[_-]?key)\b\s*[=:]\s*[\"']?([^\s\"']{6,})")),
@@ -56,7 +67,8 @@ PATTERNS = (
     ("SSN", re.compile(r"\d"), re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("IP", re.compile(r"\d"), re.compile(
         r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)")),
-    ("PERSON", re.compile(_TITLE), re.compile(rf"\b({_TITLE})\.? ((?:{_NAME} )?)({_NAME})")),
+    ("PERSON", re.compile(_TITLE), re.compile(
+        rf"\b((?:{_TITLE})(?:(?:\.\s*|\s+)(?:{_TITLE})\b)*)(?:\.\s*|\s+)({_NAMES})")),
 )
 
 
@@ -88,17 +100,22 @@ def canonical_form(kind: str, raw: str) -> str:
 
 
 def find_mentions(text: str) -> list[Mention]:
-    """Mentions without overlaps, in order of their start; a person's name parts are mentions of their own."""
+    """Mentions without overlaps, in order of their start; a person's name parts are mentions of their own.
+
+    Persons are found behind a title; then every capitalised word of the text
+    that equals a name part found so is a mention of it, with or without title.
+    A part that is a given name and a surname counts as in its first mention.
+    """
     taken: list[Mention] = []
     for kind, needs, pattern in PATTERNS:
         if not needs.search(text):
             continue
         for match in pattern.finditer(text):
             if kind == "PERSON":
-                gender = next(g for g, titles in TITLES.items() if match[1] in titles)
-                spans = [(match.start(3), match.end(3), "SURNAME")]
-                if match[2]:
-                    spans.append((match.start(2), match.end(2) - 1, "GIVEN"))
+                titles = re.findall(rf"\b(?:{_TITLE})\b", match[1])
+                gender = next((g for g in "MF" for t in titles if t in TITLES[g]), "N")
+                parts = [(m.start(), m.start() + len(_POSSESSIVE.sub("", m[0]))) for m in _PART.finditer(text, *match.span(2))]
+                spans = [(*part, "GIVEN") for part in parts[:-1]] + [(*parts[-1], "SURNAME")]
             else:
                 gender, group = "N", 1 if kind == "SECRET" else 0
                 end = match.end(group)
@@ -115,9 +132,27 @@ def find_mentions(text: str) -> list[Mention]:
         if not any(free[m.start : m.end]):
             free[m.start : m.end] = b"\1" * (m.end - m.start)
             accepted.append(m)
+    parts = {m.canonical: m for m in reversed(accepted) if m.kind in ("GIVEN", "SURNAME")}
+    for start, end in _bare_words(text) if parts else ():
+        known = parts.get(canonical_form("SURNAME", text[start:end]))
+        if known and not any(free[start:end]):
+            free[start:end] = b"\1" * (end - start)
+            accepted.append(Mention(start, end, known.kind, known.canonical, known.gender))
     return sorted(accepted, key=lambda m: m.start)
 
 
+def _bare_words(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of capitalised words: whole, without a possessive ending, and the parts of compounds."""
+    for match in _CAPITAL_WORD.finditer(text):
+        start, word = match.start(), match[0]
+        yield match.span()
+        if not word.isalnum():
+            yield start, start + len(_POSSESSIVE.sub("", word))
+            yield from (
+                (start + m.start(), start + m.end()) for m in re.finditer(r"\w+", word) if m[0][0].isupper() and m[0] != word
+            )
+
+
 class _Draw:
     """An endless stream of numbers below a bound, from key, entity and round."""
 

@@ -252,6 +252,24 @@ def test_secrets_need_no_digit_or_lower_case_elsewhere():
         assert secret.startswith(("c", "a")) or re.fullmatch("[0-9A-F]+", new)
 
 
+def test_persons_are_found_in_every_form_and_again_without_title(spark):
+    texts = [
+        (1, "Mrs. Anna Kern came. Later Anna Kern wrote; Kern left. KERN's car, Kern-Haus and the kernel stay."),
+        (2, "Dr. Anna Maria Schmidt met Frau Anna KERN"), (3, "Herr\nOtto  Weber and Prof. Dr.  J. R. Lukač von Berg, Mr\u00a0Kern"),
+        (4, "Mr. Kern\n\nSales rose. Ms. Kern The rest"),
+    ]
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(
+        spark.createDataFrame(texts, "doc_id long, text string"), "text").collect()}
+    for name in ("Anna", "Kern", "KERN", "Maria Schmidt", "Schmidt", "Otto", "Weber", "Lukač", "Berg"):
+        assert not any(re.search(rf"\b{name}\b", r.text) for r in got.values()), name
+    one = re.fullmatch(
+        r"Mrs\. (\w+) (\w+) came\. Later (\w+) (\w+) wrote; (\w+) left\. (\w+)'s car, (\w+)-Haus and the kernel stay\.", got[1].text)
+    assert one[1] == one[3] and one[2] == one[4] == one[5] == one[7] and one[6] == one[2].upper()
+    assert re.fullmatch(rf"Dr\. {one[1]} \w+ \w+ met Frau {one[1]} {one[6]}", got[2].text)
+    assert re.fullmatch(rf"Herr\n\w+  \w+ and Prof\. Dr\.  J\. R\. \w+ von \w+, Mr\u00a0{one[2]}", got[3].text)
+    assert got[4].text == f"Mr. {one[2]}\n\nSales rose. Ms. {one[2]} The rest"
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     # A hundred two-letter addresses: many draws collide, and some draws are real entities.
     letters = "abcdefghij"
