@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelake.llm import (
+    collocations,
     decontaminate,
     mixing,
+    pieces,
     ppm,
     quality,
     quotes,
@@ -117,3 +119,59 @@ def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted")
     )
+
+
+@query
+def op12_toivonen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.find_collocations(table(spark, sf_dir, "documents"), "text", F.col("lang"))
+
+
+#: Languages with words, pieces, phrases of two and three words, their best cut, and the first 2000.
+ORACLES["op12_toivonen"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+counted AS (
+    SELECT lang, p, count(*) AS f FROM (
+        SELECT lang, w[i:i] AS p FROM placed
+        UNION ALL SELECT lang, w[i:i + 1] FROM placed WHERE i + 1 <= len(w)
+        UNION ALL SELECT lang, w[i:i + 2] FROM placed WHERE i + 2 <= len(w))
+    GROUP BY lang, p),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE len(p) = 1 GROUP BY lang),
+often AS (SELECT * FROM counted WHERE f >= 10),
+cuts AS (
+    SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r,
+        (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+    FROM (SELECT *, unnest(range(1, len(p))) AS k FROM often WHERE len(p) > 1) c
+    JOIN often x ON x.lang = c.lang AND x.p = c.p[1:k]
+    JOIN often y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, q, max(f) AS f FROM (
+        SELECT lang, p[1:2] AS q, f FROM often WHERE len(p) = 3
+        UNION ALL SELECT lang, p[2:3], f FROM often WHERE len(p) = 3)
+    GROUP BY lang, q)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.p, ' ')) AS rank,
+    array_to_string(b.p, ' ') AS phrase, a, l, r, t.n, score::BIGINT AS score
+FROM best b JOIN totals t ON t.lang = b.lang LEFT JOIN inside i ON i.lang = b.lang AND i.q = b.p
+WHERE i.f IS NULL OR 100 * i.f < 50 * a
+QUALIFY rank <= 2000"""
+
+
+@query
+def op13_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tables = pieces.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = pieces.encode(docs, "text", tables).select("doc_id", "ids")
+    back = pieces.decode(coded, "ids", tables)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -35,7 +35,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def weights(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd number modulo 2**64, and of its inverse."""
     if len(_POWERS.get("up", ())) < n:
         size = max(n, SLICE_BYTES * 2)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -89,7 +90,7 @@ def word_spans(
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, from one running sum over the bytes."""
-    up, down = _powers(len(data) + 1)
+    up, down = weights(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])
