@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gatelake.llm import (
     collocations,
     decontaminate,
+    hard_negatives,
     mixing,
     pieces,
     ppm,
@@ -121,6 +122,35 @@ def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine_negatives(rows, "vec_id", "embedding", "label", F.col("vec_id") % 50 == 0)
+
+
+#: Integer products of the anchors with all rows, positives, then negatives inside each window.
+ORACLES["op11_hilbert_negatives"] = """
+WITH used AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+scored AS (
+    SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM used a JOIN used b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+    SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+negatives AS (
+    SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.label <> p.own
+        AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3"""
+
+
 @query
 def op12_toivonen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.find_collocations(table(spark, sf_dir, "documents"), "text", F.col("lang"))
