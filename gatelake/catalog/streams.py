@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatelake.catalog.gates import SLOT_RATES, slot_rates
-from gatelake.catalog.matching import REPEAT_ACTIONS, as_sql
+from gatelake.catalog.matching import as_sql
 from gatelake.catalog.registry import query
 from gatelake.catalog.text import COMMANDS
 from gatelake.catalog.views import _TABLE, VIEWS, project, view
 from gatelake.operators import gates
 from gatelake.session import configure
+from gatelake.streaming import observation as o
 from gatelake.streaming import queues as q
 from gatelake.streaming import telemetry as t
-from gatelake.streaming.runtime import run_available, run_batches, run_timers, stream_parquet
+from gatelake.streaming.runtime import in_turn, run_available, run_batches, run_timers, stream_parquet
 
 NOW = "1998-01-01 00:00:00"
 
@@ -187,20 +188,55 @@ def stream_commands(spark, sf):
     return run_available(t.stream_commands(twice), "commands").select("comment_id", "command", "authorized")
 
 
+FAILURES = """
+    SELECT concat('svc-', user_id % 5) AS target, concat('step-', event_id % 2) AS marker, ts AS at FROM {events} WHERE event_type = 'error'"""
+
+
 @query(
     "stream_repeat_suppression",
     f"""
-    WITH a AS ({as_sql(REPEAT_ACTIONS)}),
-    g AS (SELECT *, CASE WHEN "at" - lag("at") OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM a WINDOW w AS (PARTITION BY target, marker ORDER BY "at")),
-    i AS (SELECT *, sum(fresh) OVER (PARTITION BY target, marker ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS run FROM g),
-    r AS (SELECT target, marker, min("at") AS first_at, max("at") AS last_at, count(*) AS n_failures FROM i GROUP BY target, marker, run)
-    SELECT target, marker, strftime(first_at, '%Y-%m-%d %H:%M:%S') AS at, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_at, n_failures
-    FROM r WHERE last_at + INTERVAL 6 HOUR <= (SELECT max("at") FROM a) - INTERVAL 5 MINUTE""",
+    WITH RECURSIVE a AS ({as_sql(FAILURES)}),
+    f AS (SELECT DISTINCT target, marker, "at" AS t FROM a WHERE "at" <= (SELECT date_trunc('millisecond', max("at")) FROM a) - INTERVAL 5 MINUTE),
+    r AS (SELECT target, marker, min(t) AS t FROM f GROUP BY target, marker
+      UNION ALL SELECT r.target, r.marker, min(f.t) FROM r JOIN f ON f.target = r.target AND f.marker = r.marker AND f.t > r.t + INTERVAL 6 HOUR GROUP BY 1, 2)
+    SELECT target, marker, strftime(t, '%Y-%m-%d %H:%M:%S') AS "at" FROM r""",
 )
 def stream_repeat_suppression(spark, sf):
-    """Runs of failures that are over by the final watermark."""
-    out = run_available(t.stream_repeat_suppression(stream_project(spark, sf, REPEAT_ACTIONS)), "repeats")
-    return out.withColumns(stamp("at", "last_at"))
+    """Four files, one micro-batch each; runs that go on are reported every six hours."""
+    failures = in_turn(project(spark, sf, FAILURES), "at", 4, "failures")
+    return run_available(o.stream_repeat_suppression(failures), "repeats").withColumns(stamp("at"))
+
+
+WATCHED = """
+    WITH d AS (SELECT CAST(deploy_id AS VARCHAR) AS deploy_id, service, date_trunc('minute', ts + INTERVAL 1 MINUTE - INTERVAL 1 MICROSECOND) AS s FROM v_deploys),
+    w AS (SELECT deploy_id, service, k AS window_no, s + INTERVAL ((k - 1) * 720) MINUTE AS a, s + INTERVAL (k * 720) MINUTE AS b FROM d CROSS JOIN range(1, 5) r(k)),
+    c AS (SELECT w.deploy_id, w.service, window_no, a, b, count(v.event_id) AS n, CAST(coalesce(sum(v.is_error), 0) AS BIGINT) AS e
+      FROM w LEFT JOIN v_counts v ON v.service = w.service AND v.ts >= a AND v.ts < b GROUP BY ALL),
+    g AS (SELECT *, n >= 30 AND e * 10000 // greatest(n, 1) > 2000 AS failed FROM c),
+    x AS (SELECT *, window_no - coalesce(max(CASE WHEN failed OR n < 30 THEN window_no END) OVER (PARTITION BY deploy_id ORDER BY window_no), 0) AS healthy FROM g),
+    y AS (SELECT *, CASE WHEN failed THEN 'rollback' WHEN healthy >= 2 THEN 'promote' WHEN window_no = 4 THEN 'timeout' ELSE 'extend' END AS decision FROM x),
+    z AS (SELECT *, min(CASE WHEN decision <> 'extend' THEN window_no END) OVER (PARTITION BY deploy_id) AS final FROM y)
+    SELECT deploy_id, service, CAST(window_no AS INT) AS window_no, strftime(a, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS window_end,
+      n AS total_events, e AS error_events, decision FROM z WHERE window_no <= final"""
+WATCH = {"baseline": 0.1, "multiplier": 2.0, "min_events": 30, "observe_minutes": 720}
+
+
+@query("observe_deploys", WATCHED)
+def observe_deploys(spark, sf):
+    """Half a day after each deploy, and up to four such windows."""
+    out = o.observe_deploys(view(spark, sf, "v_deploys"), view(spark, sf, "v_counts"), **WATCH)
+    return out.withColumns(stamp("window_start", "window_end"))
+
+
+@query(
+    "stream_observe_deploys",
+    WATCHED + """ AND b <= least((SELECT date_trunc('millisecond', max(ts)) FROM v_deploys), (SELECT date_trunc('millisecond', max(ts)) FROM v_counts)) - INTERVAL 5 MINUTE""",
+)
+def stream_observe_deploys(spark, sf):
+    """Two streams of three files; rows appear when the watermark of both has passed their window."""
+    deploys = in_turn(view(spark, sf, "v_deploys").select("deploy_id", "service", "ts"), "ts", 3, "deploys")
+    counts = in_turn(view(spark, sf, "v_counts").select("service", "ts", "is_error"), "ts", 3, "counts")
+    return run_available(o.stream_observe_deploys(deploys, counts, **WATCH), "observed").withColumns(stamp("window_start", "window_end"))
 
 
 SESSIONS = f"""

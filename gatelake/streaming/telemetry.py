@@ -12,7 +12,6 @@ from gatelake.operators.text_policy import fix_refs, parse_commands
 WATERMARK = "5 minutes"
 LOOK_BACK, INTERVAL = "30 minutes", "1 minute"
 FIX_WINDOW = "1 hour"
-REPEAT_WINDOW = "6 hours"
 # ---------------------------------------------------------------------------
 
 
@@ -89,23 +88,6 @@ def stream_commands(comments: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return parse_commands(first)
 
 
-def stream_repeat_suppression(
-    failures: DataFrame, keys: tuple[str, ...] = ("target", "marker"), window: str = REPEAT_WINDOW, delay: str = WATERMARK
-) -> DataFrame:
-    """One report for each run of failures of a key without a gap of more than ``window``.
-
-    ``failures(*keys, at)``; gives ``keys, at`` of the first failure of a run,
-    ``last_at`` and ``n_failures``.  Runs are sessions in event time, so how rows
-    fall into micro-batches changes nothing.  In append mode a run is final, and
-    reported, when the watermark has passed ``last_at + window``; update mode
-    reports it with its first failure.
-    """
-    sessions = timed(failures, "at", delay).groupBy(*keys, F.session_window("at", window).alias("s"))
-    return sessions.agg(
-        F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n_failures")
-    ).select(*keys, F.col("first_at").alias("at"), "last_at", "n_failures")
-
-
 def observe_sessions(
     counts: DataFrame,
     baseline: float = 0.005,
