@@ -12,6 +12,7 @@ from gatelake.catalog.views import _TABLE, VIEWS, project, view
 from gatelake.operators import gates
 from gatelake.session import configure
 from gatelake.streaming import observation as o
+from gatelake.streaming import queue_table
 from gatelake.streaming import queues as q
 from gatelake.streaming import telemetry as t
 from gatelake.streaming.runtime import in_turn, run_available, run_batches, run_timers, stream_parquet
@@ -117,6 +118,40 @@ def upsert_queue(spark, sf):
     return q.read_queue(spark, path).select("digest", "entry_id", "app", "observation_minutes")
 
 
+BEGINS, POLLS = ("1994-07-01", "1996-07-01"), ("1994-06-01", "1996-06-01", "1998-01-01")
+LAST = "QUALIFY row_number() OVER (PARTITION BY digest ORDER BY queued_at DESC, entry_id DESC) = 1"
+
+
+@query(
+    "dispatch_queue",
+    f"""
+    WITH d AS (SELECT *, try_strptime(stg_deploy_time, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL (observation_minutes) MINUTE AS due FROM v_queue),
+    l1 AS (SELECT * FROM d WHERE queued_at < DATE '{BEGINS[0]}' {LAST}),
+    w1 AS (SELECT * FROM l1 WHERE due > DATE '{POLLS[0]}'),
+    l2 AS (SELECT * FROM (FROM w1 UNION ALL SELECT * FROM d WHERE queued_at >= DATE '{BEGINS[0]}' AND queued_at < DATE '{BEGINS[1]}') {LAST}),
+    w2 AS (SELECT * FROM l2 WHERE due > DATE '{POLLS[1]}'),
+    l3 AS (SELECT * FROM (FROM w2 UNION ALL SELECT * FROM d WHERE queued_at >= DATE '{BEGINS[1]}') {LAST}),
+    o AS (SELECT *, 'poll-0' AS poll FROM l1 WHERE due IS NULL OR due <= DATE '{POLLS[0]}'
+      UNION ALL SELECT *, 'poll-1' FROM l2 WHERE due IS NULL OR due <= DATE '{POLLS[1]}'
+      UNION ALL SELECT *, CASE WHEN due IS NULL OR due <= DATE '{POLLS[2]}' THEN 'poll-2' ELSE 'waiting' END FROM l3)
+    SELECT digest, entry_id, app, strftime(due, '%Y-%m-%dT%H:%M:%SZ') AS fire_at, poll FROM o""",
+)
+def dispatch_queue(spark, sf):
+    """Requests in three batches, each followed by a poll, a repeated batch and a compaction."""
+
+    def step(batch, batch_id, base, run):
+        queue_table.add_requests(batch, batch_id, base, run)
+        queue_table.poll(batch.sparkSession, base, POLLS[batch_id], f"poll-{batch_id}")
+        queue_table.add_requests(batch, batch_id, base, run)
+        queue_table.compact(batch.sparkSession, base)
+
+    requests = in_turn(view(spark, sf, "v_queue"), "queued_at", 3, "requests", BEGINS)
+    base = run_batches(requests, "dispatch-queue", step)
+    columns = ["digest", "entry_id", "app", "fire_at"]
+    kept = queue_table.waiting(spark, base).select(*columns, F.lit("waiting").alias("poll"))
+    return queue_table.fired(spark, base).select(*columns, "poll").union(kept)
+
+
 FOLLOWUPS = """
     SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN concat('<!-- agent-followup:{"due_at":"2024-01-', CASE conv_id % 2 WHEN 0 THEN '10' ELSE '20' END,
         'T00:00:00Z","reason":"check ', conv_id, '","task":"t', turn, '"} -->', chr(10), text)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,19 +16,23 @@ def stream_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def in_turn(df: DataFrame, at: str, files: int, purpose: str) -> DataFrame:
+def in_turn(df: DataFrame, at: str, files: int, purpose: str, cuts: Sequence[str] = ()) -> DataFrame:
     """The rows of ``df`` as a stream that reads one part of its time line after another.
 
-    The parts are cut at quantiles of ``at`` and written to the shared folder in
-    order; rows without an instant come first.  Each micro-batch reads one part.
+    The parts begin at the given instants, or else at quantiles of ``at``, and are
+    written to the shared folder in order; rows without an instant come first.
+    Each micro-batch reads one part.
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     seconds = F.unix_seconds(F.col(at).cast("timestamp"))
     shares = [i / files for i in range(1, files)]
-    cuts = df.agg(F.percentile_approx(seconds, shares, 1000)).first()[0] if shares else None
-    part = sum(((seconds > cut).cast("int") for cut in cuts or []), F.lit(0))
-    for nth in range(files):
+    if cuts:
+        begins = [F.unix_seconds(F.lit(cut).cast("timestamp")) for cut in cuts]
+    else:
+        begins = (df.agg(F.percentile_approx(seconds, shares, 1000)).first()[0] if shares else None) or []
+    part = sum(((seconds >= begin).cast("int") for begin in begins), F.lit(0))
+    for nth in range(len(begins) + 1):
         df.filter(F.coalesce(part, F.lit(0)) == nth).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
