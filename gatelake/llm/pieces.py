@@ -17,14 +17,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 from gatelake.llm.words import slices
 
 #: The sign that stands for a blank in pieces.
 BLANK = "▁"
 #: Bytes of text whose distinct words are encoded together; a longer text is encoded on its own, whole.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 #: Longer words are merged one pair at a time from a heap, since a word of n symbols may take n rounds over n symbols.
 LONG_WORD = 2048
 #: Symbols of characters that are no piece: this and the code point.
@@ -324,8 +324,8 @@ def decode_ids(ids: pa.Array, pieces: Pieces) -> pa.Array:
     return pc.if_else(lists.is_valid(), text, pa.scalar(None, pa.large_string())).cast(pa.string())
 
 
-def _per_slice(batches: Iterator[pa.RecordBatch], column: str, make) -> Iterator[pa.RecordBatch]:
-    """Each batch in slices, the last column made from ``column``."""
+def _per_slice(batches: Iterator[pa.RecordBatch], column: str, make, made: int) -> Iterator[pa.RecordBatch]:
+    """Each batch in slices, the last columns made from ``column``."""
     for batch in batches:
         given = batch.column(batch.schema.get_field_index(column))
         size = pc.fill_null(pc.binary_length(given) if pa.types.is_string(given.type) else pc.list_value_length(given), 0)
@@ -333,40 +333,47 @@ def _per_slice(batches: Iterator[pa.RecordBatch], column: str, make) -> Iterator
         for i, j in slices(None, ends, SLICE_BYTES):
             part = batch.slice(i, j - i)
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], make(given.slice(i, j - i))], names=batch.schema.names
+                [*part.columns[:-made], *make(given.slice(i, j - i))], names=batch.schema.names
             )
 
 
-def _with(rows: DataFrame, name: str, kind, source: str, make) -> DataFrame:
-    """``rows`` and a column made in Python; ``source`` travels under a name of its own."""
-    given, made = "_given", "_made"
-    while {given, made} & set(rows.columns):
-        given, made = given + "_", made + "_"
-    others = [c for c in rows.columns if c != name]
-    slots = [f"c{i}" for i in range(len(others))]
+def _with(rows: DataFrame, names: dict[str, DataType], source: str, make) -> DataFrame:
+    """``rows`` and columns made in Python; ``source`` travels under a name of its own."""
+    others = [c for c in rows.columns if c not in names]
     sent = rows.select(
-        *[F.col(f"`{c}`").alias(s) for c, s in zip(others, slots, strict=True)],
-        F.col(f"`{source}`").alias(given), F.lit(None).cast(kind).alias(made),
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(f"`{source}`").alias("given"),
+        *[F.lit(None).cast(kind).alias(f"m{i}") for i, kind in enumerate(names.values())],
     )
     schema = StructType([StructField(f.name, f.dataType, True) for f in sent.schema])
-    back = sent.mapInArrow(lambda batches: _per_slice(batches, given, make), schema)
-    out = [F.col(s).alias(c) for s, c in zip(slots, others, strict=True)]
-    return back.select(*out, F.col(made).alias(name))
+    back = sent.mapInArrow(lambda batches: _per_slice(batches, "given", make, len(names)), schema)
+    return back.select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], *[F.col(f"m{i}").alias(n) for i, n in enumerate(names)]
+    )
 
 
-def encode(rows: DataFrame, text: str, pieces: Pieces, ids: str = "ids") -> DataFrame:
+def encode(rows: DataFrame, text: str, pieces: Pieces, ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``rows`` with the array ``ids`` of ``text``, without begin and end signs.
 
     Blanks become the blank sign and one is put in front. Texts are cut between
     characters that no piece holds side by side; each distinct word of a slice of
     texts is encoded once, by rounds of merges. Characters that are no piece give
     their UTF-8 bytes. Null and empty texts give an empty array, long texts are
-    encoded whole, repeated rows alike; an empty table gives an empty one. A
-    column that is already called ``ids`` is replaced, all others stay.
+    encoded whole, repeated rows alike; an empty table gives an empty one. With
+    ``decoded``, the ids are decoded again into a column of that name, as
+    :func:`decode` does. A column that is already called like a new one is
+    replaced, all others stay.
     """
     tables = rows.sparkSession.sparkContext.broadcast(pieces)
     cast = rows.withColumn(text, F.col(f"`{text}`").cast("string"))
-    return _with(cast, ids, ArrayType(IntegerType()), text, lambda column: encode_texts(column, tables.value))
+    names: dict[str, DataType] = {ids: ArrayType(IntegerType())}
+    if decoded is not None:
+        names[decoded] = StringType()
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        coded = encode_texts(column, tables.value)
+        return [coded] if decoded is None else [coded, decode_ids(coded, tables.value)]
+
+    return _with(cast, names, text, make)
 
 
 def decode(rows: DataFrame, ids: str, pieces: Pieces, text: str = "decoded") -> DataFrame:
@@ -378,4 +385,4 @@ def decode(rows: DataFrame, ids: str, pieces: Pieces, text: str = "decoded") ->
     already called ``text`` is replaced, all others stay.
     """
     tables = rows.sparkSession.sparkContext.broadcast(pieces)
-    return _with(rows, text, StringType(), ids, lambda column: decode_ids(column, tables.value))
+    return _with(rows, {text: StringType()}, ids, lambda column: [decode_ids(column, tables.value)])

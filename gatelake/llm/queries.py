@@ -198,9 +198,8 @@ def op13_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tables = pieces.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = pieces.encode(docs, "text", tables).select("doc_id", "ids")
-    back = pieces.decode(coded, "ids", tables)
-    return back.select(
+    # Both in one pass over the texts; a second one would only start another Python worker for each core.
+    return pieces.encode(docs, "text", tables, decoded="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
