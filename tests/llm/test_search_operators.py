@@ -168,23 +168,45 @@ def test_border_failures_are_counted_in_further_passes(spark, monkeypatch):
     got = {(r.w0, r.w1, r.w2): r.n for r in counts.where("n >= 10").collect()}
     monkeypatch.setattr(collocations, "_propose", lambda *a: {size: ~z for size, z in empty.items()})  # or everything
     counts, passes = collocations.frequent_phrases(texts, 3, 10)
+    assert counts.where("w1 is null and (lang is null or word is null)").count() == 0
     assert passes == 1 and got == {(r.w0, r.w1, r.w2): r.n for r in counts.where("n >= 10").collect()}
     assert counts.where("n < 10 and w1 is not null").count() == 0
 
 
-def test_words_that_share_a_hash_start_another_seed(spark):
-    texts = spark.createDataFrame([("en", "a b c " * 20)] * 3, "lang string, text string")
+def test_words_and_languages_do_not_stand_for_each_other(spark):
+    rows = [("en es de en", "es")] * 12 + [("es en de es", "en")] * 11 + [("de en es", "de")] * 10
+    frame = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    assert _found(frame) == _phrases(rows)
+
+
+def test_words_that_share_a_hash_are_kept_apart(spark, monkeypatch):
     hashes = collocations.word_hashes
-    seen = []
-    # Patched where tasks look it up: the seed reaches them, so seed 0 is made weak through the table of byte values.
-    weak = lambda data, starts, ends, seed: hashes(data, starts, ends, seed) & np.uint64(0 if seed == 0 else 2**64 - 1)
-    rows = []
-    for seed in (0, 1):
-        data = np.frombuffer(b"a b c", np.uint8)
-        seen.append(len(set(weak(data, np.array([0, 2, 4]), np.array([1, 3, 5]), seed).tolist())))
-        rows.append(collocations.frequent_phrases(texts, 2, 10, seed)[0].where("n >= 10").count())
-    assert seen == [1, 3] and rows[0] == rows[1]
-    assert len({hashes(np.frombuffer(b"word", np.uint8), np.array([0]), np.array([4]), s)[0] for s in range(8)}) == 8
+    # Seed 0 can't tell words of equal length apart.
+    weak = lambda data, starts, ends, seed: hashes(data, starts, ends, seed) if seed else (ends - starts).astype(np.uint64)
+    monkeypatch.setattr(collocations, "word_hashes", weak)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 2), pa.array(["one two three one", "two"])], ["lang", "text"])
+    for seed, shared in ((0, 2), (1, 0)):
+        (got,) = collocations._read_keys(collocations._count([batch], seed, range(1, 2), {}, {}), 2)
+        assert sorted(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True)) == [("one", 2), ("three", 1), ("two", 2)]
+        hashed = collections.Counter(got["w0"].to_pylist())
+        assert sum(n for n in hashed.values() if n > 1) == shared
+
+
+def test_words_that_share_a_hash_start_another_seed(spark, monkeypatch):
+    texts = spark.createDataFrame([("en", "a b c " * 20)] * 3, "lang string, text string")
+    seeds, counted = [], collocations._passed
+
+    def passed(texts, seed, longest, sizes, old, new, least, words):
+        out = counted(texts, seed, longest, sizes, old, new, least, words)
+        if words:
+            seeds.append(seed)
+            if seed == 0:  # as if two words had met
+                out = out.union(out.where("w1 is null").limit(1))
+        return out
+
+    monkeypatch.setattr(collocations, "_passed", passed)
+    found, _ = collocations.frequent_phrases(texts, 2, 10)
+    assert seeds == [0, 1] and found.where("w1 is null").count() == 3
 
 
 def test_phrases_of_odd_rows(spark, odd, odd_rows, nothing):
@@ -252,6 +274,8 @@ def test_encoding_keeps_rows_and_columns(spark, odd, odd_rows, nothing, tables,
     got = collections.Counter((r.doc_id, r.text, tuple(r.ids), r.decoded) for r in back.collect())
     want = collections.Counter((r[0], r[1], tuple(library.encode(r[1] or "")), (r[1] or "")) for r in odd_rows)
     assert got == want
+    both = pieces.encode(clash, "text", tables, decoded="c0")
+    assert collections.Counter((r.doc_id, r.text, tuple(r.ids), r.c0) for r in both.collect()) == want
     assert pieces.decode(pieces.encode(nothing, "text", tables), "ids", tables).count() == 0
 
 
