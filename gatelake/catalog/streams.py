@@ -11,8 +11,8 @@ from gatelake.catalog.text import COMMANDS
 from gatelake.catalog.views import _TABLE, VIEWS, project, view
 from gatelake.operators import gates
 from gatelake.session import configure
+from gatelake.streaming import late, queue_table
 from gatelake.streaming import observation as o
-from gatelake.streaming import queue_table
 from gatelake.streaming import queues as q
 from gatelake.streaming import telemetry as t
 from gatelake.streaming.runtime import in_turn, run_available, run_batches, run_timers, stream_parquet
@@ -55,6 +55,28 @@ def stream_error_rate(spark, sf):
     return run_available(verdicts, "error-rate").withColumns(stamp("window_start", "window_end"))
 
 
+@query(
+    "reconciled_error_rate",
+    f"""
+    WITH w AS (SELECT service, date_trunc('day', ts) AS ws, count(*) AS total_events, CAST(sum(is_error) AS BIGINT) AS error_events FROM v_counts GROUP BY 1, 2)
+    SELECT service, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, total_events, error_events, {RATE} FROM w""",
+)
+def reconciled_error_rate(spark, sf):
+    """Three batches in no order of time: most rows come late, and are reconciled after the second and the last."""
+    counts = view(spark, sf, "v_counts").withColumn("turn", F.timestamp_seconds(F.pmod(F.xxhash64("event_id"), F.lit(1000))))
+    gate = {"baseline": 0.1, "multiplier": 2.0, "min_events": 60}
+
+    def step(batch, batch_id, base, run):
+        late.gate_batch(batch, batch_id, base, run, window_minutes=1440, **gate)
+        if batch_id == 1:
+            late.reconcile(batch.sparkSession, base, **gate)
+
+    base = run_batches(in_turn(counts.select("service", "ts", "is_error", "turn"), "turn", 3, "shuffled"), "late", step)
+    late.close(spark, base, 1440, **gate)
+    late.reconcile(spark, base, **gate)
+    return late.verdicts(spark, base).drop("version").withColumns(stamp("window_start"))
+
+
 @query(
     "stream_canary",
     f"""
