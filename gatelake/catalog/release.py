@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gatelake.catalog.matching import as_sql
 from gatelake.catalog.registry import query
 from gatelake.catalog.views import project, view
+from gatelake.operators import history
 from gatelake.operators import release as r
 
 RANKED = """
@@ -178,3 +179,52 @@ def cap_bytes(spark, sf):
 )
 def deploy_event_feeds(spark, sf):
     return r.deploy_event_feeds(view(spark, sf, "v_deploys"))
+
+
+# A history for each of twenty repositories: commits 4, 5 and 6 of every ten are a side branch
+# that leaves at commit 2 and is merged by commit 7; every hundredth commit has a tag.
+HISTORY = """
+    SELECT concat('repo-', o_custkey % 20) AS repo, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) - 1 AS n,
+      concat('c', o_orderkey) AS sha,
+      concat(CASE o_orderkey % 11 WHEN 0 THEN 'feat: ' WHEN 1 THEN 'fix(api): ' WHEN 2 THEN 'docs: ' ELSE 'chore: ' END, lower(o_orderpriority)) AS subject,
+      CASE WHEN o_orderkey % 101 = 7 THEN 'BREAKING CHANGE: x' ELSE '' END AS body
+    FROM {orders}"""
+GRAPH = f"""
+    WITH RECURSIVE h AS ({as_sql(HISTORY)}),
+    e AS (SELECT repo, n AS child, unnest(CASE WHEN n = 0 THEN [] WHEN n % 10 = 4 THEN [n - 2] WHEN n % 10 = 7 THEN [n - 4, n - 1] ELSE [n - 1] END) AS parent FROM h),
+    t AS (SELECT repo, n, n // 100 AS no FROM h WHERE n % 100 = 99),
+    a AS (SELECT repo, no, n FROM t UNION SELECT a.repo, a.no, e.parent FROM a JOIN e ON e.repo = a.repo AND e.child = a.n),
+    f AS (SELECT repo, n, min(no) AS no FROM a GROUP BY repo, n),
+    hi AS (SELECT repo, max(no) AS hi FROM t GROUP BY repo),
+    ranges AS (SELECT h.*, f.no, hi, CASE WHEN f.no IS NULL THEN hi ELSE f.no - 1 END AS before FROM h LEFT JOIN f USING (repo, n) LEFT JOIN hi USING (repo))"""
+
+
+def history_tables(spark, sf):
+    rows = project(spark, sf, HISTORY)
+    parent = "CASE WHEN n = 0 THEN array() WHEN n % 10 = 4 THEN array(n - 2) WHEN n % 10 = 7 THEN array(n - 4, n - 1) ELSE array(n - 1) END"
+    edges = rows.select("repo", "sha", F.posexplode_outer(F.expr(parent)).alias("nth", "n"))
+    named = edges.join(rows.select("repo", "n", F.col("sha").alias("parent")), ["repo", "n"], "left")
+    listed = named.groupBy("repo", "sha").agg(F.sort_array(F.collect_list(F.struct("nth", "parent"))).alias("p"))
+    parents = listed.select("repo", "sha", F.expr("filter(transform(p, x -> x.parent), x -> x IS NOT NULL)").alias("parents"))
+    tags = rows.filter("n % 100 = 99").select("repo", F.expr("concat('v1.', n div 100, '.0')").alias("tag"), "sha")
+    return rows.select("repo", "sha", "subject", "body").join(parents, ["repo", "sha"]), tags
+
+
+@query(
+    "commit_ranges",
+    GRAPH + """ SELECT repo, sha, CASE WHEN no IS NOT NULL THEN concat('v1.', no, '.0') END AS tag,
+      CASE WHEN before >= 0 THEN concat('v1.', before, '.0') END AS previous FROM ranges""",
+)
+def commit_ranges(spark, sf):
+    return history.commit_ranges(*history_tables(spark, sf))
+
+
+@query(
+    "next_release",
+    GRAPH + f""", c AS (SELECT repo, any_value(hi) AS hi, max(CASE WHEN {BREAK} THEN 3 WHEN subject LIKE 'feat: %' THEN 2 ELSE 1 END) AS level FROM ranges WHERE no IS NULL GROUP BY repo)
+    SELECT repo, CASE level WHEN 3 THEN 'major' WHEN 2 THEN 'minor' ELSE 'patch' END AS bump, CASE WHEN hi IS NULL THEN '' ELSE concat('v1.', hi, '.0') END AS previous,
+      CASE WHEN hi IS NULL THEN CASE level WHEN 3 THEN 'v1.0.0' WHEN 2 THEN 'v0.1.0' ELSE 'v0.0.1' END
+        ELSE CASE level WHEN 3 THEN 'v2.0.0' WHEN 2 THEN concat('v1.', hi + 1, '.0') ELSE concat('v1.', hi, '.1') END END AS next FROM c""",
+)
+def next_release(spark, sf):
+    return history.next_release(*history_tables(spark, sf))
