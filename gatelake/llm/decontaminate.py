@@ -15,13 +15,15 @@ from gatelake.session import cut_lineage
 
 #: Token positions that a seed looks at. For every window of 8 to 20 tokens with at least 80 % equal
 #: tokens, one of these seeds fits somewhere on equal tokens only (``tests/llm`` tries all patterns).
-SEEDS = ("111011", "11001011", "11111")
+SEEDS = ("101111", "111011", "11100011")
 #: An overlap is a window of this many tokens, or the whole item if it is shorter.
 WINDOW = 20
 #: Share of equal tokens in the window.
 SIMILARITY = 0.8
-#: Items below this many tokens can't be told from chance and are not searched.
+#: A window clipped by the text's edge has at least this many tokens; shorter items must lie in the text whole and equal.
 MIN_TOKENS = 8
+#: Items below this many tokens are no passage and are not searched.
+SHORTEST = 3
 #: The filter of seed hashes has 16 bits for each hash, but no more bits than this (16 MB).
 MOST_FILTER_BITS = 1 << 27
 
@@ -35,18 +37,23 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return span_hashes(data, starts, ends), of
 
 
-def _seed_hashes(tokens: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each seed, its hash at each position and whether it ends inside the text."""
+def _seed_hashes(tokens: np.ndarray, of: np.ndarray, seeds: tuple[str, ...]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Each seed, its hash at each position and whether it ends inside the text."""
     left = np.repeat(of[1:], np.diff(of)) - np.arange(len(tokens))
-    for number, seed in enumerate(SEEDS):
+    for seed in seeds:
         n = len(tokens) - len(seed) + 1
         if n <= 0:
             continue
-        h = np.full(n, number + 1, np.uint64)
+        h = np.full(n, int(seed, 2), np.uint64)
         for at, used in enumerate(seed):
             if used == "1":
                 h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[at : at + n]
-        yield mix(h), left[:n] >= len(seed)
+        yield seed, mix(h), left[:n] >= len(seed)
+
+
+def _whole(length: int) -> str:
+    """The seed of a short item: all of its tokens."""
+    return "1" * length
 
 
 def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +66,7 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = buffer_of(batch.column(1))
         tokens, of = _tokens(data, offsets)
         for i in range(len(offsets) - 1):
-            if of[i + 1] - of[i] >= MIN_TOKENS:
+            if of[i + 1] - of[i] >= SHORTEST:
                 own = tokens[of[i] : of[i + 1]]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, 1), pa.array([own.tobytes()], pa.binary())], ["item", "tokens"]
@@ -70,7 +77,8 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, raw in enumerate(batch.column(1).to_pylist()):
             tokens = np.frombuffer(raw, np.uint64)
-            for h, fits in _seed_hashes(tokens, np.array([0, len(tokens)])):
+            seeds = SEEDS if len(tokens) >= MIN_TOKENS else (_whole(len(tokens)),)
+            for _, h, fits in _seed_hashes(tokens, np.array([0, len(tokens)]), seeds):
                 at = np.flatnonzero(fits)
                 item = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64)))
                 yield pa.RecordBatch.from_arrays(
@@ -95,7 +103,7 @@ def _filter(seeds: DataFrame) -> np.ndarray:
     return table
 
 
-def _segments(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], table: np.ndarray, seeds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """Token runs around seeds that pass the filter, with these seeds' places and hashes."""
     bits, reach = len(table) * 32, WINDOW - 1
     for batch in batches:
@@ -103,7 +111,7 @@ def _segments(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[
         for i, j in slices(data, offsets):
             tokens, of = _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             places, hashes, ends = [], [], []
-            for seed, (h, fits) in zip(SEEDS, _seed_hashes(tokens, of), strict=False):
+            for seed, h, fits in _seed_hashes(tokens, of, seeds):
                 at = np.flatnonzero(fits)
                 for probe in _probes(h, bits):
                     p = probe[at]
@@ -129,36 +137,52 @@ def _segments(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[
                 [
                     batch.column(0).slice(i, j - i).take(pa.array(text[first])),
                     pa.array((begin[first] - of[text[first]]).astype(np.int64)),
+                    pa.array(longest == of[text[first] + 1]),
                     pa.array([tokens[a:b].tobytes() for a, b in zip(begin[first], longest, strict=True)], pa.binary()),
                     pa.array([(place[a:b] - begin[a]).astype(np.int32) for a, b in zip(first, last, strict=True)],
                              pa.list_(pa.int32())),
                     pa.array([h[a:b].view(np.int64) for a, b in zip(first, last, strict=True)], pa.list_(pa.int64())),
                 ],
-                ["key", "begin", "tokens", "at", "h"],
+                ["key", "begin", "ends", "tokens", "at", "h"],
             )
 
 
+def _best_window(text: np.ndarray, item: np.ndarray, diagonal: int, begins: bool, ends: bool) -> tuple[int, int, int] | None:
+    """Place in the item, tokens and equal tokens of the best window of an alignment that is good enough.
+
+    Windows are clipped where the text begins or ends, but not where only the
+    segment does.
+    """
+    low, high = max(0, -diagonal), min(len(item), len(text) - diagonal)
+    if high <= low:
+        return None
+    size = min(WINDOW, len(item))
+    equal = np.zeros(len(item) + 1, np.int64)
+    equal[low + 1 : high + 1] = item[low:high] == text[low + diagonal : high + diagonal]
+    equal = np.cumsum(equal)
+    starts = np.arange(len(item) - size + 1)
+    first, last = np.maximum(starts, low), np.minimum(starts + size, high)
+    length = last - first
+    whole = ((first == starts) | begins) & ((last == starts + size) | ends)
+    length = np.where(whole & (length >= min(size, MIN_TOKENS)), length, 0)
+    same = np.where(length > 0, equal[np.maximum(last, first)] - equal[first], -1)
+    share = SIMILARITY if size >= MIN_TOKENS else 1.0
+    same = np.where(same >= np.ceil(share * length), same, -1)
+    best = int(np.argmax(same))
+    return (int(first[best]), int(length[best]), int(same[best])) if same[best] > 0 else None
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The best window of each aligned pair, if enough of its tokens are equal."""
     for batch in batches:
         keep, found = [], []
-        columns = [batch.column(k).to_pylist() for k in range(2, 6)]
-        for i, (begin, segment, tokens, diagonal) in enumerate(zip(*columns, strict=True)):
+        columns = [batch.column(k).to_pylist() for k in range(2, 7)]
+        for i, (begin, ends, segment, tokens, diagonal) in enumerate(zip(*columns, strict=True)):
             text, item = np.frombuffer(segment, np.uint64), np.frombuffer(tokens, np.uint64)
-            size = min(WINDOW, len(item))
-            need = math.ceil(SIMILARITY * size)
-            low, high = max(0, -diagonal), min(len(item), len(text) - diagonal)
-            equal = np.zeros(len(item), np.int64)
-            equal[low:high] = item[low:high] == text[low + diagonal : high + diagonal]
-            sums = np.concatenate([[0], np.cumsum(equal)])
-            windows = sums[size:] - sums[:-size]
-            # Windows that stick out of the text are no overlap.
-            starts = np.arange(len(windows))
-            windows = np.where((starts >= low) & (starts + size <= high), windows, -1)
-            best = int(np.argmax(windows))
-            if windows[best] >= need:
+            window = _best_window(text, item, diagonal, begin == 0, ends)
+            if window is not None:
                 keep.append(i)
-                found.append((begin + best + diagonal, size, int(windows[best])))
+                found.append((begin + window[0] + diagonal, *window[1:]))
         if keep:
             rows = batch.take(pa.array(keep))
             at, size, same = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
@@ -173,13 +197,15 @@ def find_overlaps(documents: DataFrame, key: str, text: str, items: DataFrame, i
     A token is a run of letters, digits or non-ASCII characters; letters of every
     alphabet count in lower case. They overlap if some ``WINDOW`` tokens of the item (all of a shorter
     one) lie in the text without gaps and at least ``SIMILARITY`` of them are
-    equal. Spaced seeds of both sides are joined on their hash; a bit set of the
+    equal; where the text begins or ends inside such a window, its part of
+    ``MIN_TOKENS`` tokens or more is judged alike. Items below ``MIN_TOKENS``
+    tokens overlap where all their tokens are equal. Spaced seeds of both sides are joined on their hash; a bit set of the
     item hashes, of bounded size, only spares rows that can't join. Each seed hit
     gives an alignment, and each alignment is verified on the tokens around it,
-    so every overlap of at least ``MIN_TOKENS`` tokens is found, wherever it is.
+    so every such overlap is found, wherever it is.
 
     Items of equal tokens count as one, under the smallest id. A null text has no
-    token; shorter items and empty tables give no rows. Of several windows the
+    token; items below ``SHORTEST`` tokens and empty tables give no rows. Of several windows the
     one with most equal tokens is given, the first of equals. Rows that repeat a
     key are searched each and answer once.
     """
@@ -196,10 +222,13 @@ def find_overlaps(documents: DataFrame, key: str, text: str, items: DataFrame, i
         "decontaminate",
     )
     table = documents.sparkSession.sparkContext.broadcast(_filter(seeds))
+    tokens = (F.octet_length("tokens") / 8).cast("int")
+    short = sorted(r[0] for r in listed.where(tokens < MIN_TOKENS).select(tokens).distinct().collect())
+    searched = (*SEEDS, *[_whole(n) for n in short])  # at most MIN_TOKENS - SHORTEST more
     texts = documents.select(F.col(key).alias("key"), F.lower(F.col(text).cast("string")).alias("text"))
     segments = texts.mapInArrow(
-        lambda batches: _segments(batches, table.value),
-        f"key {kinds[1]}, begin long, tokens binary, at array<int>, h array<long>",
+        lambda batches: _segments(batches, table.value, searched),
+        f"key {kinds[1]}, begin long, ends boolean, tokens binary, at array<int>, h array<long>",
     ).withColumn("segment", F.monotonically_increasing_id())
     segments = cut_lineage(segments, "decontaminate")
     hits = segments.select("segment", F.explode(F.arrays_zip("at", "h")).alias("hit"))
@@ -210,9 +239,9 @@ def find_overlaps(documents: DataFrame, key: str, text: str, items: DataFrame, i
         .distinct()
     )
     pairs = (
-        alignments.join(segments.select("segment", "key", "begin", F.col("tokens").alias("run")), "segment")
+        alignments.join(segments.select("segment", "key", "begin", "ends", F.col("tokens").alias("run")), "segment")
         .join(listed, "no")
-        .select("key", "item", "begin", "run", "tokens", "diagonal")
+        .select("key", "item", "begin", "ends", "run", "tokens", "diagonal")
         .mapInArrow(_verify, f"key {kinds[1]}, item {kinds[0]}, at long, size long, same long")
     )
     best = F.max(F.struct("same", (-F.col("at")).alias("back"), "size")).alias("best")

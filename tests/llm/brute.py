@@ -45,17 +45,22 @@ def simhash(text, width=4):
 
 
 def overlap(text, item, window=20, share=0.8, least=8):
-    """Most equal tokens of an aligned window, or None."""
+    """Most equal tokens of an aligned window, which the text's edges may clip, or None."""
     token = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
     t, i = token.findall(low(text)), token.findall(low(item))
     size = min(window, len(i))
-    if len(i) < least:
+    if len(i) < 3:
         return None
     best = -1
-    for a in range(len(i) - size + 1):
-        for b in range(len(t) - size + 1):
-            best = max(best, sum(x == y for x, y in zip(i[a : a + size], t[b : b + size], strict=True)))
-    return best if best >= math.ceil(share * size) else None
+    for shift in range(1 - len(i), len(t)):
+        begin, end = max(0, -shift), min(len(i), len(t) - shift)
+        for start in range(len(i) - size + 1):
+            a, b = max(start, begin), min(start + size, end)
+            if b - a >= min(size, least):
+                same = sum(x == y for x, y in zip(i[a:b], t[a + shift : b + shift], strict=True))
+                if same >= math.ceil((share if size >= least else 1) * (b - a)):
+                    best = max(best, same)
+    return best if best > 0 else None
 
 
 def cosine_links(vectors, least=0.95):
