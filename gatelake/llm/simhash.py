@@ -204,13 +204,13 @@ def keep_one(documents: DataFrame, key: str, text: str, width: int = 4, radius:
     A row is told by its key and two hashes of its text, so rows of one key in
     other groups are judged on their own. Of rows that repeat both, the one with
     the smallest XXH64 over its sortable columns stays, so reruns agree. Rows
-    without a key can't be named: all of them stay.
+    without a key are told by their text alone and come behind all others.
     """
     name = "_row"
     while name in documents.columns:
         name += "_"
-    told = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
-    marked = documents.withColumn(name, F.when(F.col(key).isNotNull(), told))
+    told = F.struct(F.col(key).isNull().alias("bare"), F.col(key).alias("key"), F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
+    marked = documents.withColumn(name, told)
     groups = simhash_groups(marked, name, text, width, radius)
     kept = cut_lineage(
         groups.where(F.col(name) == F.col("component_id")).groupBy(F.col(name).alias("_kept")).agg(F.count("*").alias("_rows")),
@@ -220,7 +220,7 @@ def keep_one(documents: DataFrame, key: str, text: str, width: int = 4, radius:
     def those(rows: DataFrame) -> DataFrame:
         return marked.join(rows.select("_kept"), F.col(name) == F.col("_kept"), "left_semi")
 
-    found = those(kept.where("_rows = 1")).drop(name).unionByName(documents.where(F.col(key).isNull()))
+    found = those(kept.where("_rows = 1")).drop(name)
     if kept.where("_rows > 1").isEmpty():
         return found
     # Repeated rows are written first, so that each task reduces its own ones before they meet.
