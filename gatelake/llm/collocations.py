@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelake.llm.words import LOWER, buffer_of, mix, slices, weights, word_spans
+from gatelake.llm.words import LOWER, buffer_of, mix, slices, word_spans
 from gatelake.session import cut_lineage
 
 #: One text of so many is in the sample; its count is lowered to this share of what the sample lets expect.
 SAMPLE_ONE_OF = 4
 LOWERED = 0.8
 #: Bytes of text whose phrases are counted together; a longer text is counted on its own, whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: A filter has 32 bits for each phrase of the sample, but no more bits than this (16 MB).
 MOST_FILTER_BITS = 1 << 27
 #: Seeds tried until no two words share a hash.
@@ -42,12 +42,15 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, another one for each seed."""
-    up, down = weights(len(data) + 1)
+    """A 64-bit hash of each span of bytes, another one for each seed: powers of an odd number, as far as the longest span."""
+    length = ends - starts
+    power = np.multiply.accumulate(np.append(np.uint64(1), np.full(int(length.max(initial=0)), _STEP)))
     values = mix(np.arange(1, 257, dtype=np.uint64) * _STEP + np.uint64(seed))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    skipped = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(skipped, length)
+    total = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(values[data[place + np.repeat(starts, length)]] * power[place], out=total[1:])
+    return mix(total[skipped + length] - total[skipped])
 
 
 def _longer(gram: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -184,11 +187,14 @@ def _count(batches, seed: int, sizes: range, old: dict, new: dict) -> Iterator[p
         marks = np.array([_language_hash(n) for n in names] or [0], np.uint64)
         language = listed.indices.to_numpy().astype(np.int64)
         data, offsets = buffer_of(batch.column(1))
+        lower = words = None
         for i, j in slices(None, offsets, SLICE_BYTES):
             lower = LOWER[data[offsets[i] : offsets[j]]]
             words = _words(lower, offsets[i : j + 1] - offsets[i], language[i:j], marks, seed)
             if words is not None:
                 yield from _count_slice(words, names, sizes, old, new)
+        # Else two batches are held while the next one comes.
+        del batch, listed, language, data, offsets, lower, words
 
 
 def _language_hash(name: bytes) -> np.uint64:
