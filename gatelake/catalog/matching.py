@@ -8,6 +8,7 @@ from gatelake.catalog.registry import query
 from gatelake.catalog.text import ACTION_REFS, CLOSING, FLAGS, LABELS, extract_action_refs, extract_flags
 from gatelake.catalog.views import _TABLE, project, view
 from gatelake.functions import patterns as P
+from gatelake.operators import error_titles
 from gatelake.operators import matching as m
 
 
@@ -106,6 +107,54 @@ def dedupe_errors(spark, sf):
     return m.dedupe_errors(errors, project(spark, sf, KNOWN_ISSUES).withColumn("frames", frames))
 
 
+TITLE = """concat('K', chr(CAST(97 + user_id % 11 AS INT)), ' m', chr(CAST(97 + event_id % 7 AS INT)), ': timeout of n', chr(CAST(97 + event_id % 5 AS INT)),
+      ' and o', chr(CAST(97 + event_id % 3 AS INT)), ' after ', event_id)"""
+TITLED_ERRORS = f"""
+    SELECT event_id AS error_id, concat('e-', event_id) AS fingerprint, {TITLE} AS title, {ERROR_SHAPE}, event_id % 9 AS count, event_id % 10 <> 0 AS app_frames,
+      event_id % 13 = 0 AS bot_4xx FROM {{events}} WHERE event_type = 'error'"""
+TITLED_ISSUES = f"""
+    SELECT event_id AS number, concat('i-', event_id) AS fingerprint, {TITLE} AS title, {ERROR_SHAPE} FROM {{events}} WHERE event_type = 'signup' AND event_id % 5 = 0"""
+NOISE = "SELECT * FROM VALUES ('NetworkError', NULL, 5), ('*', 'k[b] *', 3), (NULL, '*nc*OA after*', 7), ('Type*', 'ka m*', NULL) AS n(exc_class, title, below)"
+
+
+@query(
+    "match_errors",
+    f"""
+    WITH e AS ({as_sql(TITLED_ERRORS)}), k AS ({as_sql(TITLED_ISSUES)}),
+    e2 AS (SELECT *, string_split(frames, '|')[1:5] AS top, regexp_replace(lower(title), '[0-9]+', '#', 'g') AS plain,
+      (exc_class IN ('AbortError', 'NetworkError') AND count < 5) OR NOT app_frames OR bot_4xx AS ignored,
+      coalesce((exc_class = 'NetworkError' AND count < 5) OR (lower(title) LIKE 'k[b] %' AND count < 3) OR (lower(title) LIKE '%nc%oa after%' AND count < 7)
+        OR (exc_class LIKE 'Type%' AND lower(title) LIKE 'ka m%'), false) AS noise FROM e),
+    k2 AS (SELECT *, string_split(frames, '|')[1:5] AS top, regexp_replace(lower(title), '[0-9]+', '#', 'g') AS plain FROM k),
+    p AS (SELECT error_id, number, CASE WHEN e2.exc_class <> k2.exc_class THEN 0 WHEN len(list_intersect(e2.top, k2.top)) >= 3 THEN 3 + len(list_intersect(e2.top, k2.top))
+        WHEN e2.plain = k2.plain THEN 4 ELSE 0 END AS strength FROM e2 JOIN k2 ON NOT ignored),
+    b AS (SELECT error_id, max(strength) AS strength, arg_max(number, (strength, -number)) AS number FROM p WHERE strength > 0 GROUP BY 1),
+    ew AS (SELECT e2.*, b.strength, b.number, list_sort(list_distinct(regexp_extract_all(plain, '[a-z#]+'))) AS words FROM e2 LEFT JOIN b USING (error_id)),
+    kw AS (SELECT exc_class, list_sort(list_distinct(regexp_extract_all(plain, '[a-z#]+'))) AS other, min(number) AS number FROM k2 GROUP BY ALL),
+    look AS (SELECT DISTINCT exc_class, words FROM ew WHERE NOT ignored AND NOT noise AND number IS NULL),
+    sets AS (SELECT words FROM look UNION SELECT other FROM kw),
+    wt AS (SELECT word, greatest(1, round(1000 * log2(1 + (SELECT count(*) FROM sets)::DOUBLE / count(*))))::BIGINT AS weight
+      FROM (SELECT unnest(words) AS word FROM sets) GROUP BY word),
+    total AS (SELECT words, sum(weight)::BIGINT AS sum FROM (SELECT words, unnest(words) AS word FROM sets) JOIN wt USING (word) GROUP BY words),
+    shared AS (SELECT l.exc_class, l.words, kw.other, kw.number, unnest(list_intersect(l.words, kw.other)) AS word FROM look l JOIN kw ON kw.exc_class = l.exc_class),
+    common AS (SELECT exc_class, words, other, number, sum(weight)::BIGINT AS c FROM shared JOIN wt USING (word) GROUP BY ALL),
+    near AS (SELECT x.*, c / (a.sum + o.sum - c) AS similarity FROM common x JOIN total a ON a.words = x.words JOIN total o ON o.words = x.other
+      WHERE c / (a.sum + o.sum - c) >= 0.7),
+    best AS (SELECT exc_class, words, arg_max(number, (similarity, -number)) AS near_number, max(similarity) AS similarity FROM near GROUP BY 1, 2)
+    SELECT error_id, CASE WHEN ignored OR noise THEN 'ignore' WHEN ew.number IS NOT NULL OR near_number IS NOT NULL THEN 'duplicate' ELSE 'create' END AS decision,
+      CASE WHEN NOT ignored AND NOT noise THEN coalesce(ew.number, near_number) END AS duplicate_of,
+      CASE WHEN NOT ignored AND NOT noise THEN coalesce(strength, CASE WHEN near_number IS NOT NULL THEN 2 END) END AS strength,
+      CASE WHEN NOT ignored AND NOT noise AND ew.number IS NULL THEN round(similarity, 9) END AS similarity
+    FROM ew LEFT JOIN best ON best.exc_class = ew.exc_class AND best.words = ew.words""",
+)
+def match_errors(spark, sf):
+    frames = F.split("frames", r"\|")
+    errors = project(spark, sf, TITLED_ERRORS).withColumn("frames", frames)
+    issues = project(spark, sf, TITLED_ISSUES).withColumn("frames", frames)
+    matched = error_titles.match_errors(errors, issues, spark.sql(NOISE))
+    return matched.withColumn("similarity", F.round("similarity", 9))
+
+
 PRIORITY = "CASE event_id % 4 WHEN 0 THEN 'p0' WHEN 1 THEN 'p1' WHEN 2 THEN 'p2' ELSE 'p3' END"
 
 

@@ -8,14 +8,14 @@ a long run is never held in one place.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gatelake.functions.sql import compact, objects_with, register
 from gatelake.plans.schemas import VERSIONS, fallback_plan
 
 CANDIDATES = T.ArrayType(
@@ -35,26 +35,6 @@ def walk(value) -> Iterator:
         yield from walk(child)
 
 
-def embedded_objects(text: str, mark: re.Pattern) -> Iterator[dict]:
-    """JSON objects inside a text around each match of ``mark``, last match first, innermost first."""
-    decoder = json.JSONDecoder()
-    for hit in reversed(list(mark.finditer(text))):
-        start = text.rfind("{", 0, hit.start())
-        while start >= 0:
-            try:
-                value, end = decoder.raw_decode(text, start)
-            except ValueError:
-                end = -1
-            if end >= hit.end() and isinstance(value, dict):
-                yield value
-                break
-            start = text.rfind("{", 0, start)
-
-
-def compact(value: dict) -> str:
-    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
-
-
 def _record_candidates(raw: str, version: str, head: str) -> list[tuple[int, int, str]]:
     try:
         record = json.loads(raw)
@@ -71,33 +51,12 @@ def _record_candidates(raw: str, version: str, head: str) -> list[tuple[int, int
             if head in node or "actions" in node:
                 found.append((4, seq, compact({**node, "version": version})))
         elif isinstance(node, str) and version in node:
-            mark = re.compile(r'"version"\s*:\s*"' + re.escape(version) + '"')
-            for plan in embedded_objects(node, mark):
-                if plan.get("version") == version:
-                    found.append((3, seq, compact(plan)))
-                    break
+            plan = next((p for p in objects_with(node, "version", version) if p.get("version") == version), None)
+            if plan is not None:
+                found.append((3, seq, compact(plan)))
     return found
 
 
-def _docs_candidates(raw: str, version: str) -> list[tuple[int, int, str]]:
-    try:
-        document = json.loads(raw)
-    except ValueError:
-        return []
-    messages = document if isinstance(document, list) else document.get("messages", []) if isinstance(document, dict) else []
-    texts = []
-    for message in messages:
-        if isinstance(message, dict) and message.get("role") == "assistant":
-            content = message.get("content", "")
-            blocks = content if isinstance(content, list) else [{"type": "text", "text": content}]
-            texts += [b.get("text", "") for b in blocks if isinstance(b, dict) and b.get("type") == "text"]
-    mark = re.compile(r'"version"\s*:\s*"' + re.escape(version) + '"')
-    for plan in embedded_objects("\n".join(t for t in texts if isinstance(t, str)), mark):
-        if plan.get("version") == version:
-            return [(1, 0, compact(plan))]
-    return []
-
-
 def plan_candidates(domain: str):
     """Arrow UDF over transcript records for one plan domain."""
     version = VERSIONS[domain]
@@ -105,15 +64,42 @@ def plan_candidates(domain: str):
 
     @F.pandas_udf(CANDIDATES)
     def candidates(raws: pd.Series) -> pd.Series:
-        if domain == "docs":
-            found = [_docs_candidates(raw, version) for raw in raws]
-        else:
-            found = [_record_candidates(raw, version, head) for raw in raws]
+        found = [_record_candidates(raw, version, head) for raw in raws]
         return pd.Series([[{"rank": r, "seq": s, "plan": p} for r, s, p in rows] for rows in found])
 
     return candidates
 
 
+def assistant_text(raw: Column) -> Column:
+    """Texts of the assistant in a transcript that is one document, a list of messages or an object with such a list.
+
+    A message holds a text or typed blocks; what is neither is passed over.
+    """
+    document = F.try_parse_json(raw)
+    as_list = lambda v, path: F.try_variant_get(v, path, "array<variant>")
+    messages = F.coalesce(as_list(document, "$"), as_list(document, "$.messages"))
+    own = F.filter(messages, lambda m: F.try_variant_get(m, "$.role", "string") == "assistant")
+    whole = lambda m: F.array(F.try_variant_get(m, "$.content", "string"))
+    typed = lambda m: F.transform(
+        F.filter(as_list(m, "$.content"), lambda b: F.try_variant_get(b, "$.type", "string") == "text"),
+        lambda b: F.try_variant_get(b, "$.text", "string"),
+    )
+    return F.array_join(F.flatten(F.transform(own, lambda m: F.coalesce(typed(m), whole(m)))), "\n")
+
+
+def _docs_plans(transcripts: DataFrame) -> DataFrame:
+    """The last docs plan in the assistant's texts of each document; only texts that hold the version are searched."""
+    spark, version = transcripts.sparkSession, VERSIONS["docs"]
+    register(spark)
+    told = transcripts.select("run_id", "line_no", assistant_text(F.col("raw")).alias("text")).filter(F.contains("text", F.lit(version)))
+    found = spark.sql(
+        "SELECT t.run_id, t.line_no, 1 AS rank, -o.seq AS seq, o.object AS plan "
+        f"FROM {{told}} AS t, LATERAL json_objects(t.text, 'version', '{version}') AS o",
+        told=told,
+    )
+    return found.filter(F.get_json_object("plan", "$.version") == version)
+
+
 def extract_plans(transcripts: DataFrame, runs: DataFrame, domain: str) -> DataFrame:
     """One plan per run, with its hash.
 
@@ -127,11 +113,14 @@ def extract_plans(transcripts: DataFrame, runs: DataFrame, domain: str) -> DataF
     mention = F.col("raw").rlike("|".join(keys)) & (F.col("shape") != "text")
     if domain == "docs":
         mention = mention & (F.col("shape") == "json")
-    spotted = (
-        transcripts.filter(mention)
-        .select("run_id", "line_no", F.explode(plan_candidates(domain)("raw")).alias("c"))
-        .select("run_id", "line_no", "c.rank", "c.seq", "c.plan")
-    )
+    if domain == "docs":
+        spotted = _docs_plans(transcripts.filter(mention))
+    else:
+        spotted = (
+            transcripts.filter(mention)
+            .select("run_id", "line_no", F.explode(plan_candidates(domain)("raw")).alias("c"))
+            .select("run_id", "line_no", "c.rank", "c.seq", "c.plan")
+        )
     # The first record of rank 1 and the last of every other rank is preferred.
     late = F.when(F.col("rank") == 1, F.col("line_no")).otherwise(-F.col("line_no"))
     order = F.struct("rank", late.alias("line"), (-F.col("seq")).alias("seq"), F.col("plan").alias("plan"))
