@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelake.session import cut_lineage
@@ -16,6 +17,8 @@ from gatelake.session import cut_lineage
 #: Rounds of drawing again before a draw may get longer than its original.
 SAME_LENGTH_ROUNDS = 6
 MOST_ROUNDS = 40
+#: Setting of a session that holds the key of its surrogates.
+KEY_SETTING = "spark.gatelake.surrogates.key"
 
 # Titles by gender, given names by script and gender, syllables of surnames by script.
 TITLES = {
@@ -58,7 +61,7 @@ _POSSESSIVE = re.compile(r"['’][sS]$")
 PATTERNS = (
     ("SECRET", re.compile(r"(?i)pass(?:word|wd)|secret|token|api[_-]?key"), re.compile(r"(?i)\b(?:pass(?:word|wd)|secret|token|api[_-]?key)\b\s*[=:]\s*[\"']?([^\s\"']{6,})")),
     ("SECRET", re.compile(r"[0-9a-fA-F]{32}"), re.compile(r"\b([0-9a-fA-F]{32,})\b")),
-    ("EMAIL", re.compile(r"@"), re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")),
+    ("EMAIL", re.compile(r"@"), re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+")),
     ("IBAN", re.compile(r"\d"), re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("CARD", re.compile(r"\d"), re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])")),
     ("PHONE", re.compile(r"\d"), re.compile(
@@ -99,6 +102,12 @@ def canonical_form(kind: str, raw: str) -> str:
     return raw if kind == "SECRET" else raw.lower()
 
 
+def _like_a_secret(value: str) -> bool:
+    """Whether a value behind a keyword is no plain word: a digit, a sign, capitals inside, or too long for one."""
+    word = value.rstrip(".,;:)")
+    return not word.isalpha() or len(word) >= 16 or any(c.isupper() for c in word[1:]) and not word.isupper()
+
+
 def find_mentions(text: str) -> list[Mention]:
     """Mentions without overlaps, in order of their start; a person's name parts are mentions of their own.
 
@@ -119,6 +128,8 @@ def find_mentions(text: str) -> list[Mention]:
             else:
                 gender, group = "N", 1 if kind == "SECRET" else 0
                 end = match.end(group)
+                if kind == "SECRET" and not _like_a_secret(match[1]) or kind == "CARD" and _luhn(canonical_form(kind, match[0])):
+                    continue
                 while kind == "EMAIL" and text[end - 1] in ".-":
                     end -= 1
                 spans = [(match.start(group), end, kind)]
@@ -195,6 +206,11 @@ def _luhn(digits: str) -> int:
     return total % 10
 
 
+def _mod97(text: str) -> int:
+    """Letters as numbers from 10 on, the whole modulo 97."""
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
 def draw_surrogate(kind: str, canonical: str, gender: str, key: bytes, turn: int) -> str:
     """The surrogate in canonical form that an entity proposes in a round."""
     draw = _Draw(key, kind, canonical, turn)
@@ -217,7 +233,10 @@ def draw_surrogate(kind: str, canonical: str, gender: str, key: bytes, turn: int
         keep = 1 if canonical[0] == "1" else 2 if len(canonical) > 10 else 0
         return canonical[:keep] + draw.like(canonical[keep:] + "0" * extra)
     if kind == "IBAN":
-        return canonical[:2] + draw.like(canonical[2:] + "0" * extra)
+        body = draw.like(canonical[4:] + "0" * extra)
+        # Valid check digits stay valid, wrong ones become others.
+        check = f"{98 - _mod97(body + canonical[:2] + '00'):02}" if _mod97(canonical[4:] + canonical[:4]) == 1 else draw.like(canonical[2:4])
+        return canonical[:2] + check + body
     if kind in ("GIVEN", "SURNAME"):
         script = script_of(canonical)
         syllable = lambda: SYLLABLES[script][draw.below(32) % len(SYLLABLES[script])]
@@ -307,12 +326,19 @@ def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     raise RuntimeError("no free surrogates are left; the format of some kind has too few values")
 
 
-def replace_personal_data(documents: DataFrame, text: str, key: bytes = b"change me") -> DataFrame:
+def _secret_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting, or a random one: no key is known to anyone who reads this code."""
+    told = spark.conf.get(KEY_SETTING, None)
+    return hashlib.sha256(told.encode()).digest() if told else secrets.token_bytes(32)
+
+
+def replace_personal_data(documents: DataFrame, text: str, key: bytes | None = None) -> DataFrame:
     """The documents with surrogates in ``text``, plus ``replaced``: array of ``kind, start, end``.
 
     Every entity (kind and canonical form) has one surrogate in all documents, so
     mentions of one entity stay mentions of one. Surrogates depend on ``key`` and
-    the entity only, apart from collisions. A given name's gender is that of most
+    the entity only, apart from collisions; without a key the session's setting
+    ``KEY_SETTING`` is used, and where that is unset a random one for this call. A given name's gender is that of most
     of its titles. Entities are found again when texts are rewritten, so only the
     pairs of entity and surrogate of each text are joined to it, by two hashes.
 
@@ -332,7 +358,7 @@ def replace_personal_data(documents: DataFrame, text: str, key: bytes = b"change
     by_gender = found.groupBy("kind", "canonical", "gender").agg(F.count("*").alias("n"))
     known = F.max(F.struct(F.col("gender") != "N", "n", "gender"))["gender"].alias("gender")
     entities = cut_lineage(by_gender.groupBy("kind", "canonical").agg(known), "surrogates")
-    given = assign_surrogates(entities, key)
+    given = assign_surrogates(entities, _secret_key(documents.sparkSession) if key is None else key)
     pairs = found.select("h1", "h2", "kind", "canonical").distinct().join(given, ["kind", "canonical"])
     per_text = pairs.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(
         F.collect_list(F.struct("kind", "canonical", "surrogate")).alias("names")

@@ -291,6 +291,43 @@ def test_secrets_need_no_digit_or_lower_case_elsewhere():
         assert secret.startswith(("c", "a")) or re.fullmatch("[0-9A-F]+", new)
 
 
+def test_words_behind_keywords_and_other_numbers_stay():
+    for text in ("Give me a token: please consider", "My secret = everything, really", "Token: Please.", "the code 9807915762804490 is no card",
+                 "row 2390409500648960 of 7086638319846192"):
+        assert surrogates.find_mentions(text) == [], text
+    for text, kind in (("token: plea5e", "SECRET"), ("token: pleaSe", "SECRET"), ("secret=abcdefghijklmnopqrst", "SECRET"), ("pay 4046195599780836 now", "CARD")):
+        assert [m.kind for m in surrogates.find_mentions(text)] == [kind], text
+
+
+def test_long_runs_take_time_in_proportion():
+    import time
+
+    run = "z" * 1_000_000
+    for text in (run + " a.b@example.com", run + "@", "A" * 1_000_000 + " ab12", "1" * 1_000_000, "token" * 200_000, "Mr. " + "Ab" * 300_000, "é@" * 300_000):
+        begin = time.time()
+        surrogates.find_mentions(text)
+        assert time.time() - begin < 20, text[:20]
+    assert [m.canonical for m in surrogates.find_mentions(run + " a.b@example.com")] == ["a.b@example.com"]
+
+
+def test_account_numbers_keep_valid_check_digits():
+    for original in ("DE89370400440532013000", "GB82WEST12345698765432"):
+        new = [surrogates.draw_surrogate("IBAN", original, "N", b"k", turn) for turn in range(3)]
+        assert all(surrogates._mod97(n[4:] + n[:4]) == 1 and n[:2] == original[:2] and len(n) == len(original) for n in new)
+        assert len(set(new)) == 3 and original not in new
+
+
+def test_the_key_is_never_a_known_one(spark):
+    docs = spark.createDataFrame([(1, "Mr. Kern wrote to kern@corp.example.de")], "doc_id long, text string")
+    run = lambda *key: surrogates.replace_personal_data(docs, "text", *key).first().text
+    assert run() != run()
+    spark.conf.set(surrogates.KEY_SETTING, "of this session")
+    try:
+        assert run() == run() != run(b"another")
+    finally:
+        spark.conf.unset(surrogates.KEY_SETTING)
+
+
 def test_persons_are_found_in_every_form_and_again_without_title(spark):
     texts = [
         (1, "Mrs. Anna Kern came. Later Anna Kern wrote; Kern left. KERN's car, Kern-Haus and the kernel stay."),
