@@ -199,8 +199,8 @@ def fix_verdicts(spark, sf):
 @query(
     "correlate_cves",
     """
-    WITH u AS (SELECT repo, pr, unnest(list_distinct(string_split_regex(lower(title), '[^a-z0-9@/._-]+'))) AS package FROM v_prs
-      WHERE author IN ('renovate[bot]', 'dependabot[bot]')),
+    WITH u AS (SELECT repo, pr, unnest(list_distinct(string_split_regex(lower(title), '[^a-z0-9@/._-]+'))) AS package FROM v_update_prs
+      WHERE state = 'open' AND author IN ('renovate[bot]', 'dependabot[bot]')),
     i AS (SELECT repo, package, min(pr) AS upgrade_pr FROM u GROUP BY 1, 2),
     f AS (SELECT repo, cve, package, count(*) AS findings FROM v_findings GROUP BY 1, 2, 3)
     SELECT repo, cve, package, findings, upgrade_pr,
@@ -208,7 +208,7 @@ def fix_verdicts(spark, sf):
     FROM f LEFT JOIN i USING (repo, package)""",
 )
 def correlate_cves(spark, sf):
-    updates = view(spark, sf, "v_prs").filter(F.col("author").isin("renovate[bot]", "dependabot[bot]"))
+    updates = view(spark, sf, "v_update_prs").filter(F.col("author").isin("renovate[bot]", "dependabot[bot]"))
     return m.correlate_cves(view(spark, sf, "v_findings"), updates)
 
 

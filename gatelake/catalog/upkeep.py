@@ -31,7 +31,7 @@ def cve_totals(spark, sf):
 
 
 UPDATES = f"""
-    k AS (SELECT repo, pr, {LABELS.format("labels")} AS l FROM v_prs WHERE author IN ('renovate[bot]', 'dependabot[bot]', 'renovate')),
+    k AS (SELECT repo, pr, {LABELS.format("labels")} AS l FROM v_update_prs WHERE state = 'open' AND author IN ('renovate[bot]', 'dependabot[bot]', 'renovate')),
     kk AS (SELECT repo, pr, CASE WHEN list_has_any(l, ['major', 'breaking-change']) THEN 'major' WHEN list_contains(l, 'minor') THEN 'minor'
       WHEN list_contains(l, 'patch') THEN 'patch' ELSE 'minor' END AS kind FROM k),
     r AS (SELECT *, row_number() OVER (PARTITION BY repo, kind ORDER BY pr DESC) AS rn FROM kk),
@@ -43,7 +43,7 @@ UPDATES = f"""
 
 @query("dependency_updates", f"WITH {UPDATES} SELECT * FROM upd")
 def dependency_updates(spark, sf):
-    return u.dependency_updates(view(spark, sf, "v_prs"))
+    return u.dependency_updates(view(spark, sf, "v_update_prs"))
 
 
 def signals(spark, sf):

@@ -149,6 +149,12 @@ VIEWS: dict[str, str] = {
         FROM {pages}""",
 }
 
+#: Requests with their state: finished orders are merged, those in progress closed without it.
+VIEWS["v_update_prs"] = VIEWS["v_prs"].replace(
+    "o_orderdate AS merged_at",
+    "o_orderdate AS merged_at, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'merged' ELSE 'Closed' END AS state",
+)
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",

@@ -315,19 +315,25 @@ def log_slo(requests: DataFrame, window: str = "30 minutes") -> DataFrame:
 
 
 def probe_summary(probes: DataFrame, retries: int = 10, warn_after: float = 5.0, fail_after: float = 30.0) -> DataFrame:
-    """Smoke result per service and run over all attempts within the retry limit."""
+    """Smoke result per service and run over all attempts within the retry limit.
+
+    A run passes with a status of exactly 200.  Its grade follows the latency of
+    the first attempt with any 2xx status.
+    """
     ok = (F.col("http_code") == 200) & (F.col("attempt") <= retries)
+    good = F.col("http_code").between(200, 299) & (F.col("attempt") <= retries)
     first = F.min(F.struct("attempt", "probe_id", "http_code", "latency_s"))
-    decisive = F.min(F.when(ok, F.struct("attempt", "probe_id", "latency_s")))
+    decisive = lambda rule: F.min(F.when(rule, F.struct("attempt", "probe_id", "latency_s")))
     out = probes.groupBy("service", "run_id").agg(
         F.count(F.lit(1)).alias("attempts"),
         F.coalesce(F.bool_or(ok), F.lit(False)).alias("passed"),
         first.alias("first"),
-        decisive.alias("hit"),
+        decisive(ok).alias("hit"),
+        decisive(good).alias("graded"),
     )
-    latency = F.col("hit.latency_s")
+    latency = F.col("graded.latency_s")
     grade = (
-        F.when(~F.col("passed"), "fail")
+        F.when(F.col("graded").isNull(), "fail")
         .when(latency < warn_after, "pass")
         .when(latency < fail_after, "warn")
         .otherwise("fail")

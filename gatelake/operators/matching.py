@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gatelake.functions import patterns as P
 from gatelake.functions.timeline import HOUR_US, count_in_range, micros, probe_timeline
 from gatelake.operators.text_policy import fix_refs
+from gatelake.operators.upkeep import open_only
 from gatelake.session import cut_lineage
 
 # Fixed values -------------------------------------------------------------
@@ -319,12 +320,14 @@ def fix_verdicts(verified: DataFrame) -> DataFrame:
 def correlate_cves(findings: DataFrame, update_prs: DataFrame) -> DataFrame:
     """Open update request that names the package of a finding, else manual work.
 
+    ``update_prs(repo, pr, title, state)``; without ``state`` all count as open.
     Titles are cut into words, so the containment test is an equi-join; each
     word keeps only its first request before the join.
     """
     words = F.explode(F.array_distinct(F.split(F.lower("title"), r"[^a-z0-9@/._-]+")))
     index = (
-        update_prs.select("repo", "pr", words.alias("package"))
+        open_only(update_prs)
+        .select("repo", "pr", words.alias("package"))
         .filter("package <> ''")
         .groupBy("repo", "package")
         .agg(F.min("pr").alias("upgrade_pr"))

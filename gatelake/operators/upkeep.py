@@ -50,8 +50,16 @@ def cve_totals(findings: DataFrame) -> DataFrame:
     )
 
 
+def open_only(prs: DataFrame) -> DataFrame:
+    """Requests in state ``open``; a table without a ``state`` column holds open ones only."""
+    return prs.filter(F.lower("state") == "open") if "state" in prs.columns else prs
+
+
 def dependency_updates(prs: DataFrame) -> DataFrame:
-    """Open update requests by class: full counts, lists of the newest twenty."""
+    """Open update requests by class: full counts, lists of the newest twenty.
+
+    ``prs(repo, pr, author, labels, state)``; without ``state`` all count as open.
+    """
     labels = parse_labels(F.coalesce("labels", F.lit("")))
     kind = (
         F.when(F.arrays_overlap("__l", F.array(F.lit("major"), F.lit("breaking-change"))), "major")
@@ -60,7 +68,8 @@ def dependency_updates(prs: DataFrame) -> DataFrame:
         .otherwise("minor")
     )
     updates = (
-        prs.filter(F.col("author").isin(*UPDATE_AUTHORS))
+        open_only(prs)
+        .filter(F.col("author").isin(*UPDATE_AUTHORS))
         .select("repo", "pr", labels.alias("__l"))
         .select("repo", "pr", kind.alias("kind"))
     )

@@ -157,3 +157,11 @@ def test_lead_crosses_buckets(spark):
     df = spark.createDataFrame(rows, "k string, i int, t bigint")
     got = {r.i: r.nxt for r in lead_in_time(df, ["k"], "t", "nxt", bucket_us=100, unit=F.col("i")).collect()}
     assert got == {1: 10, 2: 990, 3: 5000, 4: None, 5: None}
+
+
+def test_probes_are_graded_on_any_2xx(spark):
+    rows = [("a", "r", 1, 1, 204, 3.0), ("a", "r", 2, 2, 200, 40.0), ("b", "r", 1, 3, 301, 1.0), ("b", "r", 2, 4, 202, 9.0), ("c", "r", 1, 5, 500, 1.0),
+            ("d", "r", 11, 6, 200, 1.0)]
+    df = spark.createDataFrame(rows, "service string, run_id string, attempt int, probe_id int, http_code int, latency_s double")
+    got = {r.service: (r.passed, r.grade) for r in gates.probe_summary(df).collect()}
+    assert got == {"a": (True, "pass"), "b": (False, "warn"), "c": (False, "fail"), "d": (False, "fail")}

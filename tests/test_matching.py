@@ -184,6 +184,16 @@ def test_cve_and_updates(spark):
     assert row.major_prs == "98" and row.minor_prs.split(",") == [str(i) for i in range(44, 24, -1)]
 
 
+def test_only_open_requests_count(spark):
+    findings = spark.createDataFrame([("r", "CVE-1", "left-pad")], "repo string, cve string, package string")
+    rows = [("r", 3, "renovate[bot]", "bump left-pad", "major", "closed"), ("r", 5, "renovate[bot]", "bump left-pad", "major", "OPEN"),
+            ("r", 4, "renovate[bot]", "bump left-pad", "patch", "merged"), ("r", 2, "renovate[bot]", "bump left-pad", "minor", None)]
+    prs = spark.createDataFrame(rows, "repo string, pr int, author string, title string, labels string, state string")
+    assert m.correlate_cves(findings, prs).first().upgrade_pr == 5
+    row = u.dependency_updates(prs).first()
+    assert (row.major_count, row.minor_count, row.patch_count, row.major_prs) == (1, 0, 0, "5")
+
+
 def test_version_bump(spark):
     commits = spark.createDataFrame(
         [("a", "fix: x", ""), ("b", "feat: y", ""), ("c", "fix!: z", ""), ("d", "docs: d", "BREAKING CHANGE: q"), ("e", "chore: e", "")],
