@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatelake.catalog.registry import query
-from gatelake.catalog.views import view
+from gatelake.catalog.views import project, view
 from gatelake.operators import gates, upkeep
 
 NOW = "2024-02-01 00:00:00"
@@ -407,6 +407,30 @@ def flaky_steps(spark, sf):
     return gates.flaky_steps(view(spark, sf, "v_jobs")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+STEP_RESULTS = """
+    SELECT concat('repo-', l_suppkey % 20) AS repo, concat('job-', l_linenumber % 4) AS job, concat('step-', l_partkey % 3) AS step, l_orderkey * 10 + l_linenumber AS run_id,
+      l_shipdate AS started_at, CASE WHEN l_partkey % 3 = 2 AND l_suppkey % 20 = 3 THEN 'timed_out' WHEN l_returnflag = 'R' THEN CASE l_partkey % 7 WHEN 0 THEN 'timed_out' ELSE 'failure' END
+        WHEN l_returnflag = 'A' OR l_quantity > 25 THEN 'success' ELSE 'skipped' END AS conclusion
+    FROM {lineitem}"""
+
+
+@query(
+    "flaky_runs",
+    f"""
+    WITH s AS (SELECT * FROM ({STEP_RESULTS.replace("{lineitem}", "lineitem")}) WHERE conclusion <> 'skipped'),
+    c AS (SELECT *, coalesce(CAST((lag(conclusion = 'success') OVER k <> (conclusion = 'success')) AS BIGINT), 0) AS changed FROM s
+      WINDOW k AS (PARTITION BY repo, job, step ORDER BY started_at, run_id)),
+    j AS (SELECT *, count(*) FILTER (WHERE conclusion = 'success') OVER f AS passes, count(*) FILTER (WHERE conclusion = 'failure') OVER f AS failures,
+        count(*) FILTER (WHERE conclusion = 'timed_out') OVER f AS timeouts, CAST(sum(changed) OVER p AS BIGINT) AS flips FROM c
+      WINDOW f AS (PARTITION BY repo, job, step ORDER BY started_at, run_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW),
+        p AS (PARTITION BY repo, job, step ORDER BY started_at, run_id ROWS BETWEEN 8 PRECEDING AND CURRENT ROW))
+    SELECT repo, job, step, run_id, strftime(started_at, '%Y-%m-%d') AS started_at, passes, failures, timeouts, flips,
+      CASE WHEN passes > 0 AND failures > 0 THEN 'mixed' ELSE 'timeout' END AS reason FROM j WHERE (passes > 0 AND failures > 0) OR timeouts > 0""",
+)
+def flaky_runs(spark, sf):
+    return gates.flaky_runs(project(spark, sf, STEP_RESULTS)).withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd"))
+
+
 @query(
     "infra_drift",
     """

@@ -115,3 +115,34 @@ def lead_in_time(
         .withColumn(name, F.coalesce("__lead", "__next"))
         .drop("__b", "__lead", "__next")
     )
+
+
+def in_pieces(
+    df: DataFrame, keys: Sequence[str], t: str, order: Sequence[str], context: int, rows: int, bucket_us: int = HOUR_US
+) -> DataFrame:
+    """Each key's rows in order, cut into pieces of equal depth for frames of the last ``context + 1`` rows.
+
+    Adds ``row_no`` (from 0 within the key), ``piece`` and ``is_context``: the last
+    ``context`` rows of a piece come again, as context, at the head of the next.  A
+    window by ``keys, piece`` ordered by ``row_no`` then sees what it would see by
+    ``keys`` alone, and no task holds more than ``rows + context`` rows of a key.
+    Rows are numbered inside time buckets, which are linked by their counts.
+    ``t`` are microseconds, ``order`` breaks ties; ``rows`` is at least ``context``.
+    """
+    keys = list(keys)
+    cut = df.withColumn("__b", F.floor(F.col(t) / F.lit(bucket_us)).cast("bigint"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (
+        cut.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__n", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    )
+    inside = Window.partitionBy(*keys, "__b").orderBy(t, *order)
+    numbered = cut.withColumn("__i", F.row_number().over(inside)).join(
+        counts.withColumnsRenamed({k: f"__{k}" for k in keys}).withColumnRenamed("__b", "__c"),
+        [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__b").eqNullSafe(F.col("__c"))],
+    )
+    placed = numbered.withColumn("row_no", F.col("__n") + F.col("__i") - 1).drop("__b", "__c", "__i", "__n", *[f"__{k}" for k in keys])
+    piece = F.floor(F.col("row_no") / rows).cast("bigint")
+    again = F.when(F.col("row_no") % rows >= rows - context, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return placed.withColumn("__s", F.explode(again)).select(
+        *placed.columns, (piece + F.col("__s")).alias("piece"), (F.col("__s") == 1).alias("is_context")
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelake.functions.order_stats import nearest_rank, ranked_values
-from gatelake.functions.timeline import lead_in_time, micros
+from gatelake.functions.timeline import in_pieces, lead_in_time, micros
 
 # Fixed values -------------------------------------------------------------
 PULL_REQUEST_GATES = ("lint", "test", "coverage", "scan_secrets", "validate_pr_title", "scan_deps")
@@ -426,6 +426,41 @@ def classify_logs(logs: DataFrame, text: str = "log") -> DataFrame:
     return logs.withColumn("category", out)
 
 
+def flaky_runs(step_results: DataFrame, last: int = 10, piece_rows: int = 10_000) -> DataFrame:
+    """Runs after which a step counts as flaky, judged by its last ``last`` results in run order.
+
+    ``step_results(repo, job, step, run_id, started_at, conclusion)``; only
+    success, failure and timed_out are results.  Gives how often each came, and
+    how often the outcome changed from one result to the next (a timeout is no
+    pass).  ``reason`` is ``mixed`` where passes and failures met, else ``timeout``
+    where any result was one, so a step that only times out is listed too.  Rows
+    without an instant are left out; ties go by ``run_id``.
+    """
+    keys = ["repo", "job", "step"]
+    told = step_results.filter(F.col("conclusion").isin("success", "failure", "timed_out") & F.col("started_at").isNotNull())
+    rows = told.select(*keys, "run_id", "started_at", "conclusion", micros("started_at").alias("t"))
+    cut = in_pieces(rows, keys, "t", ["run_id", "conclusion"], last - 1, max(piece_rows, last))
+    by_piece = Window.partitionBy(*keys, "piece").orderBy("row_no")
+    frame, pairs = by_piece.rowsBetween(-(last - 1), 0), by_piece.rowsBetween(-(last - 2), 0)
+    passed = F.col("conclusion") == "success"
+    changed = (F.lag(passed).over(by_piece) != passed).cast("bigint")
+    count = lambda c: F.sum((F.col("conclusion") == c).cast("bigint")).over(frame)
+    judged = cut.withColumn("changed", F.coalesce(changed, F.lit(0))).withColumns(
+        {
+            "passes": count("success"), "failures": count("failure"), "timeouts": count("timed_out"),
+            "flips": F.sum("changed").over(pairs) if last > 1 else F.lit(0).cast("bigint"),
+        }
+    )
+    # Of the oldest row in a frame the change before it is not inside; pieces begin their context there.
+    reason = F.when((F.col("passes") > 0) & (F.col("failures") > 0), "mixed").when(F.col("timeouts") > 0, "timeout")
+    return (
+        judged.filter(~F.col("is_context"))
+        .withColumn("reason", reason)
+        .filter("reason IS NOT NULL")
+        .select(*keys, "run_id", "started_at", "passes", "failures", "timeouts", "flips", "reason")
+    )
+
+
 def flaky_steps(job_results: DataFrame, days: int = 7) -> DataFrame:
     """Days on which a job has both passed and failed within the last ``days`` days.
 

@@ -165,3 +165,27 @@ def test_probes_are_graded_on_any_2xx(spark):
     df = spark.createDataFrame(rows, "service string, run_id string, attempt int, probe_id int, http_code int, latency_s double")
     got = {r.service: (r.passed, r.grade) for r in gates.probe_summary(df).collect()}
     assert got == {"a": (True, "pass"), "b": (False, "warn"), "c": (False, "fail"), "d": (False, "fail")}
+
+
+@pytest.mark.parametrize("last, piece", [(4, 4), (4, 7), (10, 10_000), (1, 3), (2, 2)])
+def test_flaky_runs_look_at_the_last_results_in_run_order(spark, last, piece):
+    draw = random.Random(last * piece)
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = []
+    for key, choices in (("a", ["success"] * 4 + ["failure", "timed_out", "skipped"]), ("hot", ["success"] * 9 + ["failure"]), ("slow", ["timed_out"]), (None, ["success", "failure"]), ("ok", ["success"])):
+        for run in range(60):
+            at = t0 + datetime.timedelta(minutes=draw.choice([0, 0, 30, 61, 200, 2000]) * (key != "hot") + run // 5)
+            rows.append(("r", key, "s", run, at, draw.choice(choices)))
+    rows.append(("r", "a", "s", 99, None, "failure"))
+    df = spark.createDataFrame(rows, "repo string, job string, step string, run_id int, started_at timestamp, conclusion string").repartition(5)
+    got = {(r.job, r.run_id): (r.passes, r.failures, r.timeouts, r.flips, r.reason) for r in gates.flaky_runs(df, last, piece).collect()}
+    want = {}
+    for key in ("a", "hot", "slow", None, "ok"):
+        own = sorted((r for r in rows if r[1] == key and r[4] and r[5] != "skipped"), key=lambda r: (r[4], r[3]))
+        for i in range(len(own)):
+            seen = [r[5] for r in own[max(0, i - last + 1) : i + 1]]
+            p, f, t = (seen.count(c) for c in ("success", "failure", "timed_out"))
+            flips = sum((x == "success") != (y == "success") for x, y in zip(seen, seen[1:], strict=False))
+            if (p and f) or t:
+                want[key, own[i][3]] = (p, f, t, flips, "mixed" if p and f else "timeout")
+    assert got == want and (last == 1 or any(k[0] == "slow" for k in got))
