@@ -31,7 +31,7 @@ def cve_totals(spark, sf):
 
 
 UPDATES = f"""
-    k AS (SELECT repo, pr, {LABELS.format("labels")} AS l FROM v_update_prs WHERE state = 'open' AND author IN ('renovate[bot]', 'dependabot[bot]', 'renovate')),
+    k AS (SELECT repo, pr, {LABELS.format("labels")} AS l FROM v_prs WHERE author IN ('renovate[bot]', 'dependabot[bot]', 'renovate')),
     kk AS (SELECT repo, pr, CASE WHEN list_has_any(l, ['major', 'breaking-change']) THEN 'major' WHEN list_contains(l, 'minor') THEN 'minor'
       WHEN list_contains(l, 'patch') THEN 'patch' ELSE 'minor' END AS kind FROM k),
     r AS (SELECT *, row_number() OVER (PARTITION BY repo, kind ORDER BY pr DESC) AS rn FROM kk),
@@ -41,9 +41,13 @@ UPDATES = f"""
       coalesce(string_agg(pr, ',' ORDER BY pr DESC) FILTER (WHERE kind = 'minor' AND rn <= 20), '') AS minor_prs FROM r GROUP BY 1)"""
 
 
+#: The same over open requests alone, for the signals of the estate.
+OPEN_UPDATES = UPDATES.replace("FROM v_prs WHERE", "FROM v_update_prs WHERE state = 'open' AND")
+
+
 @query("dependency_updates", f"WITH {UPDATES} SELECT * FROM upd")
 def dependency_updates(spark, sf):
-    return u.dependency_updates(view(spark, sf, "v_update_prs"))
+    return u.dependency_updates(view(spark, sf, "v_prs"))
 
 
 def signals(spark, sf):
@@ -55,11 +59,12 @@ def signals(spark, sf):
         .groupBy("repo")
         .agg(F.count_if((F.col("severity") == "CRITICAL") & (F.col("package") == "pkg7")).alias("sast_count"))
     )
-    return u.maintenance_signals(cve_counts(spark, sf), dependency_updates(spark, sf), secrets, sast)
+    updates = u.dependency_updates(view(spark, sf, "v_update_prs"))
+    return u.maintenance_signals(cve_counts(spark, sf), updates, secrets, sast)
 
 
 SIGNALS = f"""
-    {UPDATES}, c AS (SELECT repo, {COUNTS}, count(*) FILTER (WHERE severity = 'CRITICAL' AND package = 'pkg7') AS sast_count
+    {OPEN_UPDATES}, c AS (SELECT repo, {COUNTS}, count(*) FILTER (WHERE severity = 'CRITICAL' AND package = 'pkg7') AS sast_count
       FROM v_findings GROUP BY 1),
     x AS (SELECT concat('repo-', number % 20) AS repo, unnest(regexp_extract_all(body, '(?i)(?:token|secret|api_key|apikey|password)\\s*=\\s*"[0-9a-f]{{40}}"')) AS h FROM v_issues),
     s AS (SELECT repo, count(*) AS secrets_count FROM x GROUP BY 1),

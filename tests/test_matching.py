@@ -3,11 +3,14 @@ import random
 
 from pyspark.sql import functions as F
 
+from gatelake import catalog
+from gatelake.catalog.registry import JOBS
 from gatelake.functions import patterns as P
 from gatelake.operators import matching as m
 from gatelake.operators import release as r
 from gatelake.operators import upkeep as u
 
+catalog.load()
 T0 = datetime.datetime(2024, 1, 1)
 
 
@@ -194,6 +197,16 @@ def test_only_open_requests_count(spark):
     assert (row.major_count, row.minor_count, row.patch_count, row.major_prs) == (1, 0, 0, "5")
 
 
+def test_update_requests_of_every_order_state_count(spark, tmp_path):
+    # Keys 0 and 1 mod 7 are bots'; labels go by the key mod 9.
+    rows = [(7, 20, "F"), (63, 20, "P"), (64, 20, "O"), (126, 20, "F"), (71, 20, None), (9, 20, "O")]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string")
+    orders.selectExpr("*", "'1-URGENT' AS o_orderpriority", "timestamp'2024-01-01' AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    row = JOBS["dependency_updates"](spark, str(tmp_path)).first()
+    assert (row.repo, row.major_count, row.minor_count, row.patch_count) == ("repo-0", 2, 3, 0)
+    assert (row.major_prs, row.minor_prs) == ("126,63", "71,64,7")
+
+
 def test_version_bump(spark):
     commits = spark.createDataFrame(
         [("a", "fix: x", ""), ("b", "feat: y", ""), ("c", "fix!: z", ""), ("d", "docs: d", "BREAKING CHANGE: q"), ("e", "chore: e", "")],
