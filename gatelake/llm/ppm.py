@@ -18,6 +18,8 @@ from gatelake.session import cut_lineage
 ORDER = 5
 #: Text bytes of the documents that ask for model values together.
 CHUNK_BYTES = 32 << 20
+#: Text bytes cut into grams and words at a time; each takes some sixty bytes of memory.
+SLICE_BYTES = 1 << 18
 #: Text bytes whose distinct grams and words one task sums, on average.
 BUCKET_BYTES = 4 * CHUNK_BYTES
 #: Trie leaves that one task turns into probabilities, on average.
@@ -68,15 +70,6 @@ def _inside(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:-1], dtype=np.int8) > 0
 
 
-def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
-
-
 class _Sums:
     """Counts by key, merged as they come, so that memory follows the distinct keys."""
 
@@ -88,13 +81,23 @@ class _Sums:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.waiting.append((keys, counts))
         self.size += len(keys)
-        if self.size > max(1_000_000, len(self.keys)):
+        if self.size > max(250_000, len(self.keys) // 4):
             self.merged()
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        parts = [(self.keys, self.counts), *self.waiting]
-        self.waiting, self.size = [], 0
-        self.keys, self.counts = _sum_by(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        """The sorted keys and their counts; only what waits is sorted, and put between the keys there are."""
+        if self.size:
+            keys, index = np.unique(np.concatenate([k for k, _ in self.waiting]), return_inverse=True)
+            counts = np.zeros(len(keys), np.int64)
+            np.add.at(counts, index, np.concatenate([c for _, c in self.waiting]))
+            self.waiting, self.size = [], 0
+            at = np.searchsorted(self.keys, keys)
+            known = np.zeros(len(keys), bool)
+            known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
+            self.counts[at[known]] += counts[known]
+            new = ~known
+            self.keys = np.insert(self.keys, at[new], keys[new])
+            self.counts = np.insert(self.counts, at[new], counts[new])
         return self.keys, self.counts
 
 
@@ -141,40 +144,46 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk()
 
 
-def _documents(raw: bytes) -> pa.Table:
-    return pa.ipc.open_stream(raw).read_all()
+def _documents(raw: bytes) -> Iterator[pa.RecordBatch]:
+    """The documents of a chunk, one batch in memory at a time."""
+    yield from pa.ipc.open_stream(raw)
 
 
 def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Every distinct gram and word of a chunk, with its count in training texts, by bucket of the key."""
     for batch in batches:
         for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            documents = _documents(raw.as_py())
-            data, offsets = buffer_of(documents.column("text"))
-            learn = documents.column("learn").to_numpy().astype(bool)
             found = {GRAM: _Sums(), WORD: _Sums()}
-            for i, j in slices(data, offsets):
-                grams, at, words, of = _stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for kind, keys, per in ((GRAM, grams, np.diff(at)), (WORD, words, np.diff(of))):
-                    train = np.repeat(learn[i:j], per)
-                    seen, count = np.unique(keys[train], return_counts=True)
-                    other = np.unique(keys[~train])
-                    counts = np.concatenate([count, np.zeros(len(other), np.int64)])
-                    found[kind].add(np.concatenate([seen, other]), counts)
-            found[WORD].add(np.array([END_WORD]), np.array([int(learn.sum())]))
-            for kind, sums in found.items():
-                keys, counts = sums.merged()
-                bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            learned = 0
+            for documents in _documents(raw.as_buffer()):
+                data, offsets = buffer_of(documents.column("text"))
+                learn = documents.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+                learned += int(learn.sum())
+                for i, j in slices(data, offsets, SLICE_BYTES):
+                    grams, at, words, of = _stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    for kind, keys, per in ((GRAM, grams, np.diff(at)), (WORD, words, np.diff(of))):
+                        train = np.repeat(learn[i:j], per)
+                        found[kind].add(*np.unique(keys[train], return_counts=True))
+                        other = np.unique(keys[~train])
+                        found[kind].add(other, np.zeros(len(other), np.int64))
+            found[WORD].add(np.array([END_WORD]), np.array([learned]))
+            for kind in (GRAM, WORD):
+                keys, counts = found.pop(kind).merged()
+                bucket = np.concatenate([
+                    (mix(keys[i : i + SLICE_BYTES].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                    for i in range(0, len(keys), SLICE_BYTES)
+                ])
                 order = np.argsort(bucket, kind="stable")
-                bucket, keys, counts = bucket[order], keys[order], counts[order]
-                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                last = np.append(first[1:], len(keys))
+                last = np.cumsum(np.bincount(bucket))
+                first = np.concatenate([[0], last[:-1]])
+                first, last = first[first < last], last[first < last]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(first), chunk)), pa.array(bucket[first] * 2 + kind),
-                        pa.array([_packed(np.diff(keys[a:b], prepend=0)) for a, b in zip(first, last, strict=True)],
+                        pa.array(np.full(len(first), chunk)),
+                        pa.array(bucket[order[first]].astype(np.int64) * 2 + kind),
+                        pa.array([_packed(np.diff(keys[order[a:b]], prepend=0)) for a, b in zip(first, last, strict=True)],
                                  pa.binary()),
-                        pa.array([_packed(counts[a:b]) for a, b in zip(first, last, strict=True)], pa.binary()),
+                        pa.array([_packed(counts[order[a:b]]) for a, b in zip(first, last, strict=True)], pa.binary()),
                     ],
                     ["chunk", "bucket", "keys", "counts"],
                 )
@@ -271,26 +280,40 @@ def _score_leaves(rows: pa.Table, pairs: np.ndarray) -> pa.Table:
     return pa.table({"bucket": rows.column("bucket"), "key": keys, "value": leaf_scores(keys, n, pairs)})
 
 
+def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Values of the asked keys, looked up in order of the keys: neighbours share what is in the cache."""
+    order = np.argsort(asked)
+    found = np.empty(len(asked), values.dtype)
+    found[order] = values[np.searchsorted(keys, asked[order])]
+    return found
+
+
 def _answer(chunk: pa.Table, values: pa.Table) -> pa.Table:
     """Sums of the values of each text's grams and words."""
-    documents = _documents(chunk.column("documents")[0].as_py())
     kinds = values.column("kind").to_numpy()
     tables = {}
     for kind in (GRAM, WORD):
         own = values.filter(pa.array(kinds == kind))
-        key = np.concatenate([_sorted_keys(raw) for raw in own.column("keys").to_pylist()])
-        value = np.concatenate([_unpacked(raw, np.float64) for raw in own.column("found").to_pylist()])
+        key = np.concatenate([_sorted_keys(raw.as_buffer()) for raw in own.column("keys")])
         order = np.argsort(key, kind="stable")
-        tables[kind] = key[order], value[order]
+        key = key[order]
+        value = np.concatenate([_unpacked(raw.as_buffer(), np.float64) for raw in own.column("found")])
+        tables[kind] = key, value[order]
+        del own, key, order, value
     end = tables[WORD][1][np.searchsorted(tables[WORD][0], END_WORD)]
+    parts = [_answer_batch(batch, tables, end) for batch in _documents(chunk.column("documents")[0].as_buffer())]
+    return pa.Table.from_batches(parts)
+
+
+def _answer_batch(documents: pa.RecordBatch, tables: dict, end: float) -> pa.RecordBatch:
     data, offsets = buffer_of(documents.column("text"))
     n = len(offsets) - 1
     tokens, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
     base, score = np.zeros(n), np.zeros(n)
-    for i, j in slices(data, offsets):
+    for i, j in slices(data, offsets, SLICE_BYTES):
         grams, at, words, of = _stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        score[i:j] = np.add.reduceat(tables[GRAM][1][np.searchsorted(tables[GRAM][0], grams)], at[:-1])
-        count = tables[WORD][1][np.searchsorted(tables[WORD][0], words)]
+        score[i:j] = np.add.reduceat(_look_up(*tables[GRAM], grams), at[:-1])
+        count = _look_up(*tables[WORD], words)
         has = np.flatnonzero(np.diff(of))
         tokens[i:j] = np.diff(of) + 1
         base[i:j] = math.log10(end + 1)
@@ -298,7 +321,7 @@ def _answer(chunk: pa.Table, values: pa.Table) -> pa.Table:
         if len(has):
             base[i + has] += np.add.reduceat(np.log10(count + 1), of[has])
             known[i + has] += np.add.reduceat((count > 0).astype(np.int64), of[has])
-    return pa.table({
+    return pa.RecordBatch.from_pydict({
         "key": documents.column("key"), "learn": documents.column("learn"), "n_tokens": tokens, "n_known": known,
         "base": base, "score": score,
     })

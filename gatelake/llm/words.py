@@ -37,7 +37,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = 1 << n.bit_length()
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             table = np.full(size, base, dtype=np.uint64)
             table[0] = 1

@@ -1,11 +1,14 @@
 """Operators on texts against plain Python, and on odd rows."""
 
+import collections
 import itertools
 import math
 import re
+import tracemalloc
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import PROSE
 from gatelake.llm import decontaminate, ppm, quality, simhash, surrogates, toxicity
@@ -198,6 +201,39 @@ def test_chunks_change_no_score(spark, documents, monkeypatch):
     assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-12) for d in want)
 
 
+def test_a_chunk_is_asked_for_in_little_memory():
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(20_000)]
+    texts = [" ".join(words[k] for k in rng.integers(0, len(words), 3_000)) for _ in range(300)]
+    rows = pa.table({"key": range(300), "text": texts, "learn": [i % 3 > 0 for i in range(300)]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows, max_chunksize=50)
+    chunk = pa.RecordBatch.from_pydict({"chunk": [0], "documents": [sink.getvalue().to_pybytes()]})
+    del rows
+    tracemalloc.start()
+    try:
+        asked = list(ppm._ask(iter([chunk]), 4))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    grams = sum(len(ppm._sorted_keys(raw)) for batch in asked for raw in batch.column("keys").to_pylist())
+    # The key, its count and a copy of one of them while keys are put in; besides that one slice.
+    assert peak < 50 * grams + 80 * ppm.SLICE_BYTES, (peak, grams)
+
+
+def test_counts_of_keys_are_merged_as_they_come():
+    rng = np.random.default_rng(5)
+    sums, want = ppm._Sums(), collections.Counter()
+    for n in (0, 1, 400_000, 3, 300_000, 0):
+        keys, counts = rng.integers(-200_000, 200_000, n), rng.integers(0, 5, n)
+        sums.add(keys, counts)
+        for key, count in zip(keys.tolist(), counts.tolist(), strict=True):
+            want[key] += count
+    keys, counts = sums.merged()
+    assert keys.tolist() == sorted(want) and dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want
+
+
 def test_toxic_words_are_learned(spark, odd, nothing):
     filler = brute.words(PROSE)
     random = np.random.default_rng(1)
