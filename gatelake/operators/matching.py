@@ -23,6 +23,8 @@ ANCESTOR_LIMIT = 20
 DUPLICATE_SLOTS = 5
 UNRECORDED_LIMIT = 20
 REPEAT_HOURS = 6
+#: Longs of 64 parity bits in the sketch of a word set.
+SKETCH_LONGS = 8
 # ---------------------------------------------------------------------------
 
 
@@ -155,54 +157,81 @@ def similar_issues(issues: DataFrame, floor: float = 0.8, text: str = "title") -
 
     Exact Jaccard with prefix filtering: words are ordered from rare to
     frequent, and two sets above the floor must share a word within their
-    prefixes.  Equal sets are joined once, as one set with its first two
-    numbers, so copies never meet each other.  The earlier issue with the
-    highest similarity wins, then the lowest number.
+    prefixes, where that of the smaller set is the shorter one.  Words that one
+    set alone holds are only counted.  Each prefix word carries a sketch of its
+    set, one parity bit for many words: sketches differ in no more bits than
+    the sets in words, so most pairs that can't reach the floor end inside the
+    join and never reach a shuffle.  Up to here words are 32-bit hashes, which
+    can only add pairs; pairs that are left are checked on the words.  Equal
+    sets are joined once, as one set with its first two numbers, so copies
+    never meet each other.  The earlier issue with the highest similarity wins,
+    then the lowest number.
     """
+    words = F.concat_ws(" ", F.sort_array(F.array_distinct(title_words(text)))).alias("words")
+    by_number = Window.partitionBy("repo", "look").orderBy(F.asc_nulls_last("number"))
+    leads = (F.row_number().over(by_number) == 1) & F.col("number").isNotNull() & F.col("repo").isNotNull()
+    # Only the first issue of equal sets keeps the words.
     base = cut_lineage(
-        issues.select("repo", "number", F.sort_array(F.array_distinct(title_words(text))).alias("words")), "word-sets"
-    ).filter(F.size("words") > 0)
-    base = base.withColumn("look", F.md5(F.concat_ws(" ", "words")))
-    firsts = base.groupBy("repo", "look").agg(F.min("number").alias("first"))
-    sets = base.join(firsts.select("repo", F.col("first").alias("number")), ["repo", "number"], "left_semi").select(
-        "repo", F.col("number").alias("first"), "words"
-    )
-    rows = sets.select("repo", "first", F.explode("words").alias("word"))
-    frequency = rows.groupBy("repo", "word").agg(F.count(F.lit(1)).alias("df"))
-    ordered = (
-        rows.join(frequency, ["repo", "word"])
-        .groupBy("repo", "first")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"))
-        .select("repo", "first", F.transform("ranked", lambda x: x["word"]).alias("ranked"))
-        .withColumn("n", F.size("ranked"))
-    )
-    prefix_len = F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9).cast("int") + 1
-    prefixes = cut_lineage(
-        ordered.select("repo", "first", "n", F.explode(F.slice("ranked", F.lit(1), prefix_len)).alias("word")), "prefixes"
-    )
-    a = prefixes.select("repo", "word", F.col("first").alias("a"), F.col("n").alias("na"))
-    b = prefixes.select("repo", "word", F.col("first").alias("b"), F.col("n").alias("nb"))
-    pairs = (
-        a.join(b, ["repo", "word"])
-        .filter("b < a")
-        .filter((F.col("nb") > F.lit(floor) * F.col("na")) & (F.col("na") > F.lit(floor) * F.col("nb")))
-        .select("repo", "a", "b")
-        .distinct()
-    )
-    words = sets.select("repo", "first", "words")
+        issues.select("repo", "number", words)
+        .filter("words <> ''")
+        .withColumn("look", F.md5("words"))
+        .withColumns({"first": F.first("number").over(by_number), "leads": leads})
+        .select("repo", "number", "first", F.when(F.col("leads"), F.col("words")).alias("words"), F.monotonically_increasing_id().alias("set")),
+        "word-sets",
+    )
+    sets = base.filter("words IS NOT NULL").withColumn("words", F.split("words", " "))
+    rows = sets.select("repo", "set", F.explode("words").alias("word")).select("set", F.hash("repo", "word").alias("no"))
+    held = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("no")).cast("int")).filter("df > 1").repartition("set")
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(no), 64) as int))")
+    part = F.pmod(F.shiftright(F.xxhash64("no"), 6), F.lit(SKETCH_LONGS))
+    sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
+
+    def length(share: float) -> Column:
+        # Lone words are the rarest and stand first in the prefix.
+        return F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9).cast("int") + 1 - F.col("lone"))
+
+    listed = cut_lineage(
+        held.groupBy("set")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("df", "no"))).alias("ranked"),
+            *[F.bit_xor(F.when(part == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(c) for i, c in enumerate(sketch)],
+        )
+        .join(sets.select("set", F.size("words").alias("n")), "set")
+        .withColumn("lone", F.col("n") - F.size("ranked"))
+        .select("set", "n", "lone", F.transform(F.slice("ranked", F.lit(1), length(floor)), lambda x: x["no"]).alias("head"), *sketch),
+        "prefixes",
+    )
+
+    def prefixes(share: float, side: str) -> DataFrame:
+        head = listed.select("set", "n", "lone", *sketch, F.explode(F.slice("head", F.lit(1), length(share))).alias("no"))
+        return head.withColumnsRenamed({c: f"{c}_{side}" for c in ("set", "n", "lone", *sketch)})
+
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("set_x") < F.col("set_y")))
+    differing = [F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in sketch]
+    apart = sum(differing, F.col("lone_x") + F.col("lone_y"))
+    pairs = cut_lineage(
+        prefixes(2 * floor / (1 + floor), "x")
+        .join(prefixes(floor, "y"), "no")
+        .filter(smaller & (F.col("n_x") > F.lit(floor) * F.col("n_y")))
+        .filter(apart <= F.lit((1 - floor) / (1 + floor)) * (F.col("n_x") + F.col("n_y")) + 1e-6)
+        .select("set_x", "set_y")
+        .distinct(),
+        "pairs",
+    )
+    x, y = (pairs.join(sets.withColumnsRenamed({c: f"{c}_{k}" for c in sets.columns}), f"set_{k}") for k in "xy")
+    later, earlier = F.greatest("first_x", "first_y"), F.least("first_x", "first_y")
     scored = (
-        pairs.join(words.withColumnsRenamed({"first": "a", "words": "wa"}), ["repo", "a"])
-        .join(words.withColumnsRenamed({"first": "b", "words": "wb"}), ["repo", "b"])
-        .withColumn("shared", F.size(F.array_intersect("wa", "wb")))
-        .select("repo", "a", "b", (F.col("shared") / (F.size("wa") + F.size("wb") - F.col("shared"))).alias("sim"))
+        x.join(y.select("set_x", "set_y", "first_y", "words_y"), ["set_x", "set_y"])
+        .filter("first_x <> first_y")
+        .withColumn("shared", F.size(F.array_intersect("words_x", "words_y")))
+        .withColumn("sim", F.col("shared") / (F.size("words_x") + F.size("words_y") - F.col("shared")))
         .filter(F.col("sim") > floor)
-        .groupBy("repo", "a")
-        .agg(F.max(F.struct("sim", (-F.col("b")).alias("neg"))).alias("best"))
-        .select("repo", F.col("a").alias("number"), (-F.col("best.neg")).alias("duplicate_of"), F.col("best.sim").alias("similarity"))
+        .groupBy(F.col("repo_x").alias("repo"), later.alias("number"))
+        .agg(F.max(F.struct("sim", (-earlier).alias("neg"))).alias("best"))
+        .select("repo", "number", (-F.col("best.neg")).alias("duplicate_of"), F.col("best.sim").alias("similarity"))
     )
     copies = (
-        base.select("repo", "number", "look").join(firsts, ["repo", "look"])
-        .filter("number > first")
+        base.filter("number > first AND repo IS NOT NULL")
         .select("repo", "number", F.col("first").alias("duplicate_of"), F.lit(1.0).alias("similarity"))
     )
     return scored.unionByName(copies)

@@ -22,6 +22,11 @@ def keywords(spark, title):
     return spark.createDataFrame([(title,)], "title string").select(m.title_keywords("title")).first()[0]
 
 
+def shuffled_bytes(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
 def test_keywords(spark):
     assert keywords(spark, "") == []
     assert keywords(spark, "the and for") == []
@@ -187,6 +192,24 @@ def test_cve_and_updates(spark):
     assert row.major_prs == "98" and row.minor_prs.split(",") == [str(i) for i in range(44, 24, -1)]
 
 
+def test_pairs_below_the_floor_are_not_shuffled(spark):
+    # Any two titles share words of their prefixes, and about half of all words.
+    rnd = random.Random(17)
+    words = [f"word{i}" for i in range(60)]
+    titles = [rnd.sample(words, 40) for _ in range(400)]
+    titles += [[*t[:-1], "other"] for t in titles[:50]]
+    issues = spark.createDataFrame([("r", n, " ".join(t)) for n, t in enumerate(titles)], "repo string, number bigint, title string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    before = shuffled_bytes(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {x.number: (x.duplicate_of, x.similarity) for x in m.similar_issues(issues).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {400 + n: (n, 39 / 41) for n in range(50)}
+    assert shuffled_bytes(spark) - before < 4_000_000
+
+
 def test_only_open_requests_count(spark):
     findings = spark.createDataFrame([("r", "CVE-1", "left-pad")], "repo string, cve string, package string")
     rows = [("r", 3, "renovate[bot]", "bump left-pad", "major", "closed"), ("r", 5, "renovate[bot]", "bump left-pad", "major", "OPEN"),
