@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gatelake.functions import patterns as P
 from gatelake.functions.timeline import HOUR_US, count_in_range, micros, probe_timeline
+from gatelake.operators.keyword_index import search_blocks
 from gatelake.operators.text_policy import fix_refs
 from gatelake.operators.upkeep import open_only
 from gatelake.session import cut_lineage
@@ -83,15 +84,16 @@ def title_keywords(title: str) -> Column:
     return F.slice(words, 1, P.DUPLICATE_KEYWORDS)
 
 
-def find_duplicates(issues: DataFrame, posting_rows: int = 100_000) -> DataFrame:
+def find_duplicates(issues: DataFrame, posting_rows: int = 8_000_000) -> DataFrame:
     """Up to five issues of the same repository whose title has all keywords of an issue.
 
     Candidates are ranked newest first; the issue itself takes a slot and is
     then removed.  Equal keyword sets and equal word sets are searched once
     (a word set keeps its newest five issues, which is all a top five can use).
-    A query probes only the posting list of its rarest keyword, and a posting
-    list longer than ``posting_rows`` is cut into salted parts that are probed
-    in parallel, so no keyword is dropped and no list lands in one task.
+    The word sets of a repository are dealt to blocks of about ``posting_rows``
+    words; each search visits every block of its repository, where a task holds
+    the posting lists, and leaves it with five candidates at most.  So no hit of a
+    single keyword is ever shuffled, and no keyword is dropped.
     Titles are cut into words once and kept in the shared folder.
     """
     base = cut_lineage(
@@ -117,33 +119,22 @@ def find_duplicates(issues: DataFrame, posting_rows: int = 100_000) -> DataFrame
     titles = cut_lineage(
         base.select("repo", F.col("number").alias("set_id"), "words").join(slots, ["repo", "set_id"]), "word-sets"
     )
-    searches = base.filter(F.size("kws") > 0).select("repo", "kws").distinct()
-    asked = searches.select("repo", "kws", F.explode("kws").alias("word"))
-    postings = titles.select("repo", "set_id", F.explode("words").alias("word"))
-    parts = F.expr(f"cast(ceil(df / {posting_rows}) as int)")
-    size = postings.groupBy("repo", "word").agg(F.count(F.lit(1)).alias("df"))
-    rarest = (
-        asked.join(size, ["repo", "word"])
-        .groupBy("repo", "kws")
-        .agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("df", "word")).alias("key"))
-        .filter(F.col("known") == F.size("kws"))
-        .select("repo", "kws", "key.word", "key.df")
-        .select("repo", "kws", "word", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    )
-    # Only words with a long list need a salt; all others stay in part 0.
-    long_lists = size.filter(F.col("df") > posting_rows)
-    salt = F.when(F.col("df").isNotNull(), F.pmod(F.xxhash64("set_id"), parts)).otherwise(0).cast("int")
-    parted = postings.join(long_lists, ["repo", "word"], "left").select("repo", "word", "set_id", salt.alias("part"))
-    best = Window.partitionBy("repo", "kws").orderBy(F.desc("candidate"))
-    top = (
-        rarest.join(parted, ["repo", "word", "part"])
-        .select("repo", "kws", "set_id")
-        .join(titles, ["repo", "set_id"])
-        .filter(F.size(F.array_except("kws", "words")) == 0)
-        .select("repo", "kws", F.explode("numbers").alias("candidate"))
-        .withColumn("slot", F.row_number().over(best))
-        .filter(F.col("slot") <= DUPLICATE_SLOTS)
+    searches = cut_lineage(
+        base.filter(F.size("kws") > 0).select("repo", "kws").distinct().withColumn("query", F.monotonically_increasing_id()), "searches"
     )
+    parts = F.greatest(F.lit(1), F.ceil(F.sum(F.size("words")) / posting_rows)).cast("int")
+    blocks = titles.groupBy("repo").agg(parts.alias("blocks"))
+    told = titles.join(blocks, "repo").select(
+        "repo", F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("block"), F.lit(None).cast("bigint").alias("query"), "set_id", "words", "numbers"
+    )
+    asked = searches.join(blocks, "repo").select(
+        "repo", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query", F.col("kws").alias("words")
+    )
+    rows = told.unionByName(asked, allowMissingColumns=True).repartition("repo", "block").sortWithinPartitions("repo", "block", "query")
+    kind = base.schema["number"].dataType.simpleString()
+    found = rows.mapInArrow(lambda batches: search_blocks(batches, DUPLICATE_SLOTS), f"query bigint, candidate {kind}")
+    best = Window.partitionBy("query").orderBy(F.desc("candidate"))
+    top = found.withColumn("slot", F.row_number().over(best)).filter(F.col("slot") <= DUPLICATE_SLOTS).join(searches, "query").drop("query")
     return (
         base.select("repo", "number", "kws")
         .join(top, ["repo", "kws"])

@@ -57,6 +57,29 @@ def test_duplicates_against_brute_force_with_copies_and_hot_words(spark):
     assert got == want
 
 
+def test_hits_of_a_single_keyword_are_not_shuffled(spark):
+    rnd = random.Random(5)
+    vocabulary = [f"word{i:02}" for i in range(14)]
+    titles = {n: " ".join(rnd.sample(vocabulary, 6)) for n in range(2500)}
+    issues = spark.createDataFrame([("r", n, t) for n, t in titles.items()], "repo string, number bigint, title string")
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for limit in limits:
+        spark.conf.set(limit, "-1")
+    try:
+        before = shuffled_bytes(spark)
+        got = {(x.number, x.candidate, x.slot) for x in m.find_duplicates(issues).collect()}
+    finally:
+        for limit in limits:
+            spark.conf.unset(limit)
+    # A keyword is in a thousand titles; their pairs would be many megabytes.
+    assert shuffled_bytes(spark) - before < 2_000_000
+    want = set()
+    for n, t in titles.items():
+        hits = sorted((c for c, other in titles.items() if set(t.split()) <= set(other.split())), reverse=True)[:5]
+        want |= {(n, c, i + 1) for i, c in enumerate(hits) if c != n}
+    assert got == want
+
+
 def test_self_takes_a_slot(spark):
     issues = spark.createDataFrame([("r", n, "same title") for n in range(7)], "repo string, number bigint, title string")
     got = m.find_duplicates(issues).filter("number = 6").collect()
