@@ -5,8 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +17,7 @@ LOCK_DAYS = 30
 # ---------------------------------------------------------------------------
 
 FIRED = "key string, fire_at string, queued_us bigint, payload string, reason string"
+_FIRED = Row("key", "fire_at", "queued_us", "payload", "reason")
 
 
 # -- batch twins -------------------------------------------------------------------
@@ -102,43 +102,41 @@ class DelayQueue(StatefulProcessor):
 
     A newer entry replaces the pending one; an entry without a readable due
     time fires at once; one without a queue time (-1 in the result) leaves as
-    ``invalid`` and touches no other.  Batches of a key are reduced chunk by chunk.
+    ``invalid`` and touches no other.  Rows are taken one by one, and the state is
+    asked once a key: most keys have a handful of rows.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.entry = handle.getValueState("entry", "fire_ms bigint, queued_us bigint, fire_at string, payload string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = self.entry.get() if self.entry.exists() else None
-        for chunk in rows:
-            unordered = chunk[chunk["queued_us"].isna()]
-            if len(unordered):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, rank = None, None
+        for row in rows:
+            if row.queued_us is None:
                 # Without a queue time a record can't replace or be replaced: it leaves as it is.
-                yield pd.DataFrame({
-                    "key": key[0], "fire_at": unordered["fire_at"], "queued_us": pd.Series(-1, unordered.index),
-                    "payload": unordered["payload"], "reason": "invalid",
-                })
-            chunk = chunk[chunk["queued_us"].notna()]
-            if not len(chunk):
+                yield _FIRED(key[0], row.fire_at, -1, row.payload, "invalid")
                 continue
-            last = chunk.sort_values(["queued_us", "payload"]).iloc[-1]
-            if newest is None or last["queued_us"] >= newest[1]:
-                due = None if pd.isna(last["fire_ms"]) else int(last["fire_ms"])
-                newest = (due, int(last["queued_us"]), last["fire_at"], last["payload"])
-        if newest is None:
+            own = (row.queued_us, row.payload is None, row.payload or "")
+            if last is None or own >= rank:
+                last, rank = (row.fire_ms, row.queued_us, row.fire_at, row.payload), own
+        if last is None:
             return
-        now = timerValues.getCurrentProcessingTimeInMs()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if newest[0] is None or newest[0] <= now:
-            self.entry.clear()
-            yield self._fired(key, newest)
+        pending = self.entry.get()
+        if pending is not None:
+            if last[1] < pending[1]:
+                last = tuple(pending)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if last[0] is None or last[0] <= timerValues.getCurrentProcessingTimeInMs():
+            if pending is not None:
+                self.entry.clear()
+            yield self._fired(key, last)
         else:
-            self.entry.update(newest)
-            self.handle.registerTimer(newest[0])
+            self.entry.update(last)
+            self.handle.registerTimer(last[0])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.entry.exists():
             pending = self.entry.get()
             self.entry.clear()
@@ -148,11 +146,9 @@ class DelayQueue(StatefulProcessor):
         pass
 
     @staticmethod
-    def _fired(key, entry) -> pd.DataFrame:
+    def _fired(key, entry) -> Row:
         reason = "unparseable" if entry[0] is None else "due"
-        return pd.DataFrame(
-            {"key": [key[0]], "fire_at": [entry[2]], "queued_us": [entry[1]], "payload": [entry[3]], "reason": [reason]}
-        )
+        return _FIRED(key[0], entry[2], entry[1], entry[3], reason)
 
 
 def stream_delayed(entries: DataFrame) -> DataFrame:
@@ -170,7 +166,7 @@ def stream_delayed(entries: DataFrame) -> DataFrame:
             "payload",
         )
         .groupBy("key")
-        .transformWithStateInPandas(DelayQueue(), FIRED, "append", "processingTime")
+        .transformWithState(DelayQueue(), FIRED, "append", "processingTime")
     )
 
 

@@ -2,6 +2,7 @@ import datetime
 import time
 
 import pytest
+from pyspark.sql import Row
 
 from gatelake.streaming import queues as q
 from gatelake.streaming import telemetry as t
@@ -43,6 +44,26 @@ def test_delay_queue_fires_replaces_and_keeps(spark, tmp_path):
     assert sorted((x.key, x.payload, x.reason) for x in fired.collect()) == [("bad", "x", "unparseable"), ("past", "new", "due")]
 
 
+def test_a_new_key_asks_the_state_once(spark):
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *given: calls.append(name)
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return 1_000
+
+    queue = q.DelayQueue()
+    queue.handle = queue.entry = State()
+    row = Row("fire_ms", "queued_us", "fire_at", "payload")
+    rows = [row(5, 1, "a", "old"), row(7, 3, "b", "new"), row(6, 2, "c", "middle"), row(None, None, "d", "none")]
+    fired = [tuple(x) for x in queue.handleInputRows(("k",), iter(rows), Clock())]
+    assert fired == [("k", "d", -1, "none", "invalid"), ("k", "b", 3, "new", "due")]
+    assert calls == ["get"]
+
+
 def test_timer_fires_later(spark, tmp_path):
     due = datetime.datetime.now(datetime.timezone.utc) + datetime.timedelta(seconds=12)
     rows = [("k", 1, "p", due.strftime("%Y-%m-%dT%H:%M:%SZ"), 0, T0)]
