@@ -18,6 +18,8 @@ from gatelake.session import cut_lineage
 
 #: Commits of a chain that are scanned in one piece; pieces are linked by one row each.
 PIECE = 4096
+#: Links whose ways are doubled; a longer history is thinned to as many first.
+DOUBLED = 250_000
 
 
 def _edges(commits: DataFrame) -> DataFrame:
@@ -32,23 +34,39 @@ def _chains(commits: DataFrame, edges: DataFrame) -> DataFrame:
     """``repo, sha, chain, step``: every commit in one chain, ``step`` 0 at its youngest commit.
 
     A commit is followed by the child that names it as first parent, the smallest
-    of several.  The way to the youngest commit doubles in each round.
+    of several.  While there are more than ``DOUBLED`` links, a commit drawn by its
+    hash hands its link to those behind it, where its own child isn't drawn: a
+    quarter leaves in a round.  The way to the youngest commit doubles among those
+    that are left, and the others are put back in the reverse order.  So all rounds
+    together move some times the history, whatever its length.
     """
-    heirs = edges.filter("nth = 0").groupBy("repo", F.col("parent").alias("sha")).agg(F.min("child").alias("next"))
-    state = (
-        commits.select("repo", "sha").distinct().join(heirs, ["repo", "sha"], "left")
-        .select("repo", "sha", F.coalesce("next", "sha").alias("chain"), F.col("next").isNotNull().cast("bigint").alias("step"))
-    )
-    state = cut_lineage(state, "chains")
+    heirs = edges.filter("nth = 0").groupBy("repo", F.col("parent").alias("sha")).agg(F.min("child").alias("chain"))
+    state = cut_lineage(commits.select("repo", "sha").distinct().join(heirs, ["repo", "sha"], "left"), "chains")
+    links = state.filter("chain IS NOT NULL").withColumn("step", F.lit(1).cast("bigint"))
+    out = []
+    while links.count() > DOUBLED:
+        coin = [F.pmod(F.xxhash64("repo", end, F.lit(len(out))), F.lit(2)) == 1 for end in ("sha", "chain")]
+        drawn = coin[0] & ~coin[1]
+        out.append(cut_lineage(links.filter(drawn), "chains"))
+        links = cut_lineage(_beyond(links.filter(~drawn), out[-1]).drop("more"), "chains")
     while True:
-        ahead = state.select("repo", F.col("sha").alias("chain"), F.col("chain").alias("end"), F.col("step").alias("more"))
-        state = cut_lineage(
-            state.join(ahead, ["repo", "chain"]).select("repo", "sha", F.col("end").alias("chain"), (F.col("step") + F.col("more")).alias("step")),
-            "chains",
-        )
-        open_ = state.join(state.filter("step > 0").select("repo", F.col("sha").alias("chain")), ["repo", "chain"], "left_semi")
-        if open_.isEmpty():
-            return state
+        links = cut_lineage(_beyond(links, links), "chains")
+        done = links.filter("more IS NOT NULL").isEmpty()
+        links = links.drop("more")
+        if done:
+            break
+    for back in reversed(out):
+        links = cut_lineage(links.union(_beyond(back, links).drop("more")), "chains")
+    youngest = state.filter("chain IS NULL").select("repo", "sha", F.col("sha").alias("chain"), F.lit(0).cast("bigint").alias("step"))
+    return links.union(youngest)
+
+
+def _beyond(links: DataFrame, ahead: DataFrame) -> DataFrame:
+    """Links that end where those of ``ahead`` go on, with the steps gained; others stay."""
+    on = ahead.select("repo", F.col("sha").alias("chain"), F.col("chain").alias("end"), F.col("step").alias("more"))
+    return links.join(on, ["repo", "chain"], "left").select(
+        "repo", "sha", F.coalesce("end", "chain").alias("chain"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"), "more"
+    )
 
 
 def _along(placed: DataFrame) -> DataFrame:

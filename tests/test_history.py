@@ -82,3 +82,22 @@ def test_a_long_history_takes_few_joins(spark, monkeypatch):
     tags = [("r", f"v1.{j}.0", str(1000 * j + 999)) for j in range(9)]
     assert ranges(spark, commits, tags) == walked(commits, tags)
     assert len(rounds) < 40
+
+
+def test_chains_move_some_times_the_history(spark, monkeypatch):
+    moved = []
+    cut = history.cut_lineage
+
+    def counted(df, name):
+        kept = cut(df, name)
+        moved.append(kept.count())
+        return kept
+
+    n = 10_000
+    commits = spark.createDataFrame([("r", str(i), [str(i - 1)] if i else []) for i in range(n)], COMMIT)
+    monkeypatch.setattr(history, "cut_lineage", counted)
+    monkeypatch.setattr(history, "DOUBLED", 500, raising=False)
+    chains = history._chains(commits, history._edges(commits))
+    assert {(x.sha, x.chain, x.step) for x in chains.collect()} == {(str(i), str(n - 1), n - 1 - i) for i in range(n)}
+    # Doubling alone takes fifteen rounds of all commits.
+    assert sum(moved) < 11 * n
