@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from gatelake.session import shared_dir
 
+# Fixed values -------------------------------------------------------------
+FILE_ROWS = 250_000
+# ---------------------------------------------------------------------------
+
 
 def stream_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Parquet files under a glob as a stream, with the schema of what is there now."""
@@ -21,7 +25,9 @@ def in_turn(df: DataFrame, at: str, files: int, purpose: str, cuts: Sequence[str
 
     The parts begin at the given instants, or else at quantiles of ``at``, and are
     written to the shared folder in order; rows without an instant come first.
-    Each micro-batch reads one part.
+    Each micro-batch reads one part.  All parts have the same number of files, so many
+    that none holds more than about ``FILE_ROWS`` rows; a part with fewer rows is filled
+    up with empty ones.
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
@@ -32,9 +38,16 @@ def in_turn(df: DataFrame, at: str, files: int, purpose: str, cuts: Sequence[str
     else:
         begins = (df.agg(F.percentile_approx(seconds, shares, 1000)).first()[0] if shares else None) or []
     part = sum(((seconds >= begin).cast("int") for begin in begins), F.lit(0))
+    placed = F.coalesce(part, F.lit(0))
+    most = df.groupBy(placed.alias("part")).count().agg(F.max("count")).first()[0] or 1
+    each = -(-most // FILE_ROWS)
     for nth in range(len(begins) + 1):
-        df.filter(F.coalesce(part, F.lit(0)) == nth).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        own = df.filter(placed == nth)
+        (own.coalesce(1) if each == 1 else own.repartition(each)).write.mode("append").parquet(path)
+        # A partition without rows writes no file.
+        for _ in range(each * (nth + 1) - len(spark.read.schema(df.schema).parquet(path).inputFiles()) if each > 1 else 0):
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def run_available(stream: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:

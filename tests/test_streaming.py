@@ -1,10 +1,13 @@
 import datetime
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from gatelake.streaming import queues as q
+from gatelake.streaming import runtime
 from gatelake.streaming import telemetry as t
 from gatelake.streaming.runtime import run_available, run_batches, run_timers, stream_parquet
 
@@ -149,3 +152,21 @@ def test_stale_sweep(spark):
     df = spark.createDataFrame([(i, c[0], c[1], *map(ago, c[2:5])) for i, c in enumerate(cases)],
                                "i int, kind string, state string, last_activity timestamp, stale_since timestamp, closed_at timestamp")
     assert {x.i: x.action for x in q.stale_sweep(df, "2024-01-01 00:00:00").collect()} == {i: c[5] for i, c in enumerate(cases)}
+
+
+def test_a_part_of_many_rows_is_many_files_of_one_batch(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "FILE_ROWS", 10, raising=False)
+    rows = [(n, at(days=0)) for n in range(95)] + [(95, at(days=2))] + [(n, at(days=6)) for n in range(96, 110)]
+    df = spark.createDataFrame(rows, "n int, ts timestamp")
+    turns = runtime.in_turn(df, "ts", 4, "turns", ("2024-01-02", "2024-01-04", "2024-01-06"))
+    seen = {}
+
+    def step(batch, batch_id, base, run):
+        held = batch.withColumn("file", F.input_file_name()).collect()
+        files = Counter(x.file for x in held)
+        seen[batch_id] = (sorted(x.n for x in held), len(files) > 5, max(files.values(), default=0) < 20)
+
+    run_batches(turns, "turns-out", step)
+    assert seen == {
+        0: (list(range(95)), True, True), 1: ([95], False, True), 2: ([], False, True), 3: (list(range(96, 110)), seen[3][1], True),
+    }
