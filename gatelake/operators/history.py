@@ -48,6 +48,8 @@ def _chains(commits: DataFrame, edges: DataFrame) -> DataFrame:
         coin = [F.pmod(F.xxhash64("repo", end, F.lit(len(out))), F.lit(2)) == 1 for end in ("sha", "chain")]
         drawn = coin[0] & ~coin[1]
         out.append(cut_lineage(links.filter(drawn), "chains"))
+        if out[-1].isEmpty():
+            break  # only commits that are their own child are left
         links = cut_lineage(_beyond(links.filter(~drawn), out[-1]).drop("more"), "chains")
     while True:
         links = cut_lineage(_beyond(links, links), "chains")
