@@ -126,12 +126,13 @@ def match_errors(errors: DataFrame, issues: DataFrame, noise: DataFrame, floor:
     same class with the most similar title, at least ``floor``, is taken, the lowest
     number of equals, with strength ``TITLE_STRENGTH``.
     """
-    judged = dedupe_errors(errors, issues)
     loud = errors.withColumn("noise", noise_rule(noise)).select("error_id", "exc_class", title_words("title").alias("words"), "noise")
+    # Each of these is asked several times, and worked out once.
+    judged = cut_lineage(dedupe_errors(errors, issues).join(loud, "error_id"), "judged")
     # Of equal titles and classes one issue is enough.
-    known = issues.groupBy("exc_class", title_words("title").alias("other")).agg(F.min("number").alias("number"))
-    open_ = judged.filter("decision = 'create'").join(loud.filter("NOT noise"), "error_id")
-    look = open_.select("exc_class", "words").distinct()
+    known = cut_lineage(issues.groupBy("exc_class", title_words("title").alias("other")).agg(F.min("number").alias("number")), "known")
+    open_ = judged.filter("decision = 'create' AND NOT noise")
+    look = cut_lineage(open_.select("exc_class", "words").distinct(), "looks")
     alike = similar_titles(look.select("words"), known.select(F.col("other").alias("words")), floor)
     best = (
         look.join(alike, "words")
@@ -140,7 +141,7 @@ def match_errors(errors: DataFrame, issues: DataFrame, noise: DataFrame, floor:
         .agg(F.max(F.struct("similarity", (-F.col("number")).alias("neg"))).alias("near"))
     )
     found = open_.join(best, ["exc_class", "words"]).select("error_id", "near")
-    all_ = judged.join(loud.select("error_id", "noise"), "error_id").join(found, "error_id", "left")
+    all_ = judged.join(found, "error_id", "left")
     ignored = F.col("noise") | (F.col("decision") == "ignore")
     near = F.col("near").isNotNull()
     return all_.select(

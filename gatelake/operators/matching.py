@@ -231,26 +231,27 @@ def similar_issues(issues: DataFrame, floor: float = 0.8, text: str = "title") -
 # -- errors -----------------------------------------------------------------------
 
 
-def _match_keys(fingerprint: str, title: str, exc_class: str, frames: str) -> Column:
-    """Join keys of an error, each with its strength.
+def _match_keys(groups: DataFrame, kept: str) -> DataFrame:
+    """``kept, strength, key``: join keys of errors or issues, each with its strength.
 
     Two errors share at least k of their top five frames exactly when they
     share a k-subset of them, so frame overlap becomes an equi-join on subsets.
     """
-    top = F.sort_array(F.array_distinct(F.slice(frames, 1, 5)))
+    # Columns of their own, so that they are worked out once a row and not once a key.
+    parted = groups.select(
+        kept, "fingerprint", "exc_class", F.regexp_replace(F.lower("title"), "[0-9]+", "#").alias("plain"),
+        F.sort_array(F.array_distinct(F.slice("frames", 1, 5))).alias("top"),
+    )
 
     def key(strength: int, *parts: Column) -> Column:
-        # A part that is missing equals nothing, so there is no key with it.
         whole = F.concat(F.lit(str(strength)), *[x for p in parts for x in (F.lit("\x1f"), p)])
-        return F.when(whole.isNotNull(), F.struct(F.lit(strength).alias("strength"), whole.alias("key")))
+        return F.struct(F.lit(strength).alias("strength"), whole.alias("key"))
 
-    plain = F.regexp_replace(F.lower(F.col(title)), "[0-9]+", "#")
-    keys = [key(9, F.col(fingerprint)), key(4, F.col(exc_class), plain)]
+    keys = [key(9, F.col("fingerprint")), key(4, F.col("exc_class"), F.col("plain"))]
     for k, strength in ((5, 8), (4, 7), (3, 6)):
-        for subset in combinations(range(5), k):
-            parts = [F.get(top, i) for i in subset]
-            keys.append(F.when(F.size(top) > subset[-1], key(strength, F.col(exc_class), *parts)))
-    return F.filter(F.array(*keys), lambda x: x.isNotNull())
+        keys += [key(strength, F.col("exc_class"), *[F.get("top", F.lit(i)) for i in subset]) for subset in combinations(range(5), k)]
+    # A part that is missing, or a frame that there is not, equals nothing, so there is no key with it.
+    return parted.select(kept, F.explode(F.array(*keys)).alias("k")).select(kept, "k.*").filter("key IS NOT NULL")
 
 
 def dedupe_errors(errors: DataFrame, issues: DataFrame) -> DataFrame:
@@ -267,24 +268,18 @@ def dedupe_errors(errors: DataFrame, issues: DataFrame) -> DataFrame:
         | ~F.col("app_frames")
         | F.col("bot_4xx")
     )
-    index = (
-        issues.select("number", F.explode(_match_keys("fingerprint", "title", "exc_class", "frames")).alias("k"))
-        .groupBy(F.col("k.key").alias("key"))
-        .agg(F.min("number").alias("number"))
-    )
+    index = _match_keys(issues, "number").groupBy("key").agg(F.min("number").alias("number"))
     judged = errors.withColumn("ignored", noise)
-    # Groups that look alike are searched once.
+    # Groups that look alike are searched once; a number stands for what they look like while their keys are joined.
     look = ["fingerprint", "title", "exc_class", "frames"]
-    best = (
-        judged.filter("NOT ignored")
-        .select(*look)
-        .distinct()
-        .withColumn("k", F.explode(_match_keys(*look)))
-        .select(*look, F.col("k.strength").alias("strength"), F.col("k.key").alias("key"))
+    looks = cut_lineage(judged.filter("NOT ignored").select(*look).distinct().withColumn("no", F.monotonically_increasing_id()), "looks")
+    hits = (
+        _match_keys(looks, "no")
         .join(index, "key")
-        .groupBy(*look)
+        .groupBy("no")
         .agg(F.max(F.struct("strength", (-F.col("number")).alias("neg"))).alias("hit"))
     )
+    best = looks.join(hits, "no")
     side = best.select(*[F.col(c).alias(f"__{c}") for c in look], "hit")
     alike = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in look]
     return judged.join(side, alike, "left").select(

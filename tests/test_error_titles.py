@@ -71,3 +71,20 @@ def test_noise_patterns(spark):
     assert got == {i: bool(v) for i, v in want.items()} and set(got.values()) == {True, False}
     with pytest.raises(ValueError):
         e.noise_rule(spark.range(2000).selectExpr("'a' AS exc_class", "'b' AS title", "1 AS below"))
+
+
+def test_each_error_is_worked_out_a_few_times_only(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, f"f{i}", f"Payment {i} refused card of n{i % 7}", "E", ["a", "b", f"c{i % 5}"], 9, True, False) for i in range(60)]
+    errors = spark.createDataFrame(rows, ERROR).mapInArrow(told, ERROR)
+    issues = spark.createDataFrame([(100 + i, None, f"payment refused card of n{i}", "E", []) for i in range(7)], ISSUE)
+    noise = spark.createDataFrame([], "exc_class string, title string, below int")
+    assert len(e.match_errors(errors, issues, noise, 0.6).collect()) == len(rows)
+    # Looked up, put back, and given words: once each.
+    assert seen.value <= 3 * len(rows)
