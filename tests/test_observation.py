@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 
 from gatelake.streaming import observation as o
@@ -113,3 +114,62 @@ def test_deploys_without_telemetry_time_out(spark, tmp_path):
     assert sorted((r.deploy_id, r.window_no, r.decision) for r in out.collect()) == [("d", k, "timeout" if k == 4 else "extend") for k in range(1, 5)]
     empty = o.observe_deploys(spark.createDataFrame([], DEPLOY), spark.createDataFrame([], COUNT))
     assert empty.count() == 0
+
+
+class Held:
+    """State of one key in memory; counts the calls."""
+
+    def __init__(self):
+        self.kept, self.calls, self.watermark = {}, 0, 0
+
+    def getMapState(self, *_):
+        return self.getValueState()
+
+    def getValueState(self, *_):
+        part = Held()
+        self.kept[id(part)] = part
+        return part
+
+    def registerTimer(self, ms):
+        self.at = ms
+
+    def deleteTimer(self, ms):
+        self.at = None
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    def __getattr__(self, name):
+        def call(key=(), value=None):
+            self.calls += 1
+            if name in ("updateValue", "update"):
+                self.kept[() if value is None else key] = key if value is None else value
+            elif name in ("removeKey", "clear"):
+                self.kept.pop(key, None)
+            elif name in ("containsKey", "exists"):
+                return key in self.kept
+            elif name in ("getValue", "get"):
+                return self.kept[key]
+            else:
+                return iter(list(self.kept if name == "keys" else self.kept.items()))
+
+        return call
+
+
+def test_watching_many_deploys_asks_the_state_a_few_times(spark):
+    draw = random.Random(2)
+    us = lambda t: int((t - datetime.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    deploys = [(f"d{i}", "s", after(minutes=draw.randint(0, 700))) for i in range(3000)]
+    events = [("s", after(minutes=draw.randint(0, 1400)), int(draw.random() < 0.2)) for _ in range(3000)]
+    rows = [(d, us(t), 0, 0) for d, _, t in deploys] + [(None, us(t), 1, bad) for _, t, bad in events]
+    watch, state = o.DeployWatch(30 * o.MINUTE_US, o.MINUTE_US, 4, 2, 15, 2000), Held()
+    watch.init(state)
+    assert list(watch.handleInputRows(("s", 0), iter([pd.DataFrame(rows, columns=["deploy_id", "interval_us", "n", "e"])]), state)) == []
+    got = []
+    for hours in (3, 7, 24):
+        state.watermark = us(after(hours=hours)) // 1000
+        got += [r for frame in watch.handleExpiredTimer(("s", 0), state, None) for r in frame.itertuples(index=False, name=None)]
+    want = [(d, s, k, us(a), us(b), *rest) for d, s, k, a, b, *rest in decided(deploys, events, **ARGS)]
+    assert sorted(got) == want
+    assert sum(part.calls for part in state.kept.values()) < 100
+
