@@ -156,7 +156,7 @@ class Held:
         return call
 
 
-def test_watching_many_deploys_asks_the_state_a_few_times(spark):
+def test_watching_many_deploys_asks_the_state_a_few_times():
     draw = random.Random(2)
     us = lambda t: int((t - datetime.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
     deploys = [(f"d{i}", "s", after(minutes=draw.randint(0, 700))) for i in range(3000)]
