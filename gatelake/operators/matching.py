@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from gatelake.functions import patterns as P
 from gatelake.functions.timeline import HOUR_US, count_in_range, micros, probe_timeline
 from gatelake.operators.keyword_index import search_blocks
+from gatelake.operators.similar_sets import (
+    CELLS, COUNTERS, SLICE, add_counters, best_earlier, find_partners, keep_raised, raise_counters, sort_words, visit_cells,
+)
 from gatelake.operators.text_policy import fix_refs
 from gatelake.operators.upkeep import open_only
 from gatelake.session import cut_lineage
@@ -24,8 +27,6 @@ ANCESTOR_LIMIT = 20
 DUPLICATE_SLOTS = 5
 UNRECORDED_LIMIT = 20
 REPEAT_HOURS = 6
-#: Longs of 64 parity bits in the sketch of a word set.
-SKETCH_LONGS = 8
 # ---------------------------------------------------------------------------
 
 
@@ -148,86 +149,78 @@ def similar_issues(issues: DataFrame, floor: float = 0.8, text: str = "title") -
 
     Exact Jaccard with prefix filtering: words are ordered from rare to
     frequent, and two sets above the floor must share a word within their
-    prefixes, where that of the smaller set is the shorter one.  Words that one
-    set alone holds are only counted.  Each prefix word carries a sketch of its
-    set, one parity bit for many words: sketches differ in no more bits than
-    the sets in words, so most pairs that can't reach the floor end inside the
-    join and never reach a shuffle.  Up to here words are 32-bit hashes, which
-    can only add pairs; pairs that are left are checked on the words.  Equal
+    heads, where that of the smaller set is the shorter one.  A set is sent
+    once to the cell of its repository and class of sizes, and once to the cell
+    below, with its head and parity bits of all its words, which differ in no
+    more places than the sets in words; blocks of a cell keep a task's memory
+    bounded.  Up to here words are hashes, which can only add pairs.  Near
+    sets of a cell are checked on the words together, so words are sent once
+    for many pairs, and only the best earlier issue leaves a check.  Equal
     sets are joined once, as one set with its first two numbers, so copies
     never meet each other.  The earlier issue with the highest similarity wins,
     then the lowest number.
     """
-    words = F.concat_ws(" ", F.sort_array(F.array_distinct(title_words(text)))).alias("words")
-    by_number = Window.partitionBy("repo", "look").orderBy(F.asc_nulls_last("number"))
-    leads = (F.row_number().over(by_number) == 1) & F.col("number").isNotNull() & F.col("repo").isNotNull()
-    # Only the first issue of equal sets keeps the words.
     base = cut_lineage(
-        issues.select("repo", "number", words)
-        .filter("words <> ''")
-        .withColumn("look", F.md5("words"))
-        .withColumns({"first": F.first("number").over(by_number), "leads": leads})
-        .select("repo", "number", "first", F.when(F.col("leads"), F.col("words")).alias("words"), F.monotonically_increasing_id().alias("set")),
+        issues.filter("repo IS NOT NULL AND number IS NOT NULL")
+        .select("repo", "number", F.concat_ws(" ", F.sort_array(F.array_distinct(title_words(text)))).alias("words"))
+        .withColumn("set", F.monotonically_increasing_id()),
         "word-sets",
-    )
-    sets = base.filter("words IS NOT NULL").withColumn("words", F.split("words", " "))
-    rows = sets.select("repo", "set", F.explode("words").alias("word")).select("set", F.hash("repo", "word").alias("no"))
-    held = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("no")).cast("int")).filter("df > 1").repartition("set")
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(no), 64) as int))")
-    part = F.pmod(F.shiftright(F.xxhash64("no"), 6), F.lit(SKETCH_LONGS))
-    sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
-
-    def length(share: float) -> Column:
-        # Lone words are the rarest and stand first in the prefix.
-        return F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9).cast("int") + 1 - F.col("lone"))
-
+    ).filter("words <> ''")
+    repo, number = (base.schema[c].dataType.simpleString() for c in ("repo", "number"))
+    hashes = F.transform(F.split("words", " "), lambda w: F.xxhash64("repo", w)).alias("hashes")
+    hashed = base.select("repo", "number", "set", F.unhex(F.md5("words")).alias("look"), hashes)
+    # How often words occur only orders them, so words may share a counter.
+    ranks = _counters(base.select(hashes))
+    told = f"repo {repo}, number {number}, set bigint, look binary, n int, class int, near bigint, head binary, bits binary"
+    by_number = Window.partitionBy("repo", "look").orderBy("number")
+    # Only the first issue of equal sets keeps its head.
     listed = cut_lineage(
-        held.groupBy("set")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("df", "no"))).alias("ranked"),
-            *[F.bit_xor(F.when(part == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(c) for i, c in enumerate(sketch)],
-        )
-        .join(sets.select("set", F.size("words").alias("n")), "set")
-        .withColumn("lone", F.col("n") - F.size("ranked"))
-        .select("set", "n", "lone", F.transform(F.slice("ranked", F.lit(1), length(floor)), lambda x: x["no"]).alias("head"), *sketch),
+        hashed.mapInArrow(lambda batches: sort_words(batches, ranks, floor), told)
+        .withColumns({"first": F.first("number").over(by_number), "leads": F.row_number().over(by_number) == 1})
+        .select("repo", "number", "first", "set", "n", "class", "near", *[F.when(F.col("leads"), F.col(c)).alias(c) for c in ("head", "bits")]),
         "prefixes",
     )
-
-    def prefixes(share: float, side: str) -> DataFrame:
-        head = listed.select("set", "n", "lone", *sketch, F.explode(F.slice("head", F.lit(1), length(share))).alias("no"))
-        return head.withColumnsRenamed({c: f"{c}_{side}" for c in ("set", "n", "lone", *sketch)})
-
-    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("set_x") < F.col("set_y")))
-    differing = [F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in sketch]
-    apart = sum(differing, F.col("lone_x") + F.col("lone_y"))
-    pairs = cut_lineage(
-        prefixes(2 * floor / (1 + floor), "x")
-        .join(prefixes(floor, "y"), "no")
-        .filter(smaller & (F.col("n_x") > F.lit(floor) * F.col("n_y")))
-        .filter(apart <= F.lit((1 - floor) / (1 + floor)) * (F.col("n_x") + F.col("n_y")) + 1e-6)
-        .select("set_x", "set_y")
-        .distinct(),
+    cells = [F.pmod(F.hash("repo", F.col("class") + i), F.lit(CELLS)).alias(c) for i, c in ((-1, "below"), (0, "cell"), (1, "above"))]
+    sets = listed.filter("head IS NOT NULL").select("repo", "set", "n", "near", "head", "bits", "class", *cells)
+    sizes = sets.groupBy("cell").agg(F.sum(F.length("head") + F.length("bits")).alias("bytes"))
+    weights = {x.cell: x.bytes for x in sizes.collect()}
+    found = cut_lineage(
+        sets.mapInArrow(
+            lambda batches: visit_cells(batches, weights),
+            f"repo {repo}, set bigint, n int, near bigint, head binary, bits binary, of int, block int, part int, role int",
+        )
+        .repartition("repo", "of", "block", "part")
+        .sortWithinPartitions("repo", "of", "block", "part", "role")
+        .mapInArrow(lambda batches: find_partners(batches, floor), "set bigint, unit bigint, partners array<bigint>"),
         "pairs",
     )
-    x, y = (pairs.join(sets.withColumnsRenamed({c: f"{c}_{k}" for c in sets.columns}), f"set_{k}") for k in "xy")
-    later, earlier = F.greatest("first_x", "first_y"), F.least("first_x", "first_y")
+    visits = found.groupBy("set", "unit").agg(F.first("partners", ignorenulls=True).alias("partners"), F.max(F.col("partners").isNull()).alias("told"))
+    # Most sets have no partner; few of those share the counter of one that has.
+    raised = _counters(found.select(F.array(F.xxhash64("set")).alias("hashes")))
+    words = base.withColumn("mark", F.xxhash64("set")).mapInArrow(
+        lambda batches: keep_raised(batches, raised), f"repo {repo}, number {number}, words string, set bigint"
+    )
     scored = (
-        x.join(y.select("set_x", "set_y", "first_y", "words_y"), ["set_x", "set_y"])
-        .filter("first_x <> first_y")
-        .withColumn("shared", F.size(F.array_intersect("words_x", "words_y")))
-        .withColumn("sim", F.col("shared") / (F.size("words_x") + F.size("words_y") - F.col("shared")))
-        .filter(F.col("sim") > floor)
-        .groupBy(F.col("repo_x").alias("repo"), later.alias("number"))
-        .agg(F.max(F.struct("sim", (-earlier).alias("neg"))).alias("best"))
+        visits.join(words, "set")
+        .select("unit", "told", "set", "repo", "number", "words", "partners")
+        .repartition("unit")
+        .sortWithinPartitions("unit", F.desc("told"))
+        .mapInArrow(lambda batches: best_earlier(batches, floor), f"repo {repo}, number {number}, earlier {number}, sim double")
+        .groupBy("repo", "number")
+        .agg(F.max(F.struct("sim", (-F.col("earlier")).alias("neg"))).alias("best"))
         .select("repo", "number", (-F.col("best.neg")).alias("duplicate_of"), F.col("best.sim").alias("similarity"))
     )
-    copies = (
-        base.filter("number > first AND repo IS NOT NULL")
-        .select("repo", "number", F.col("first").alias("duplicate_of"), F.lit(1.0).alias("similarity"))
-    )
+    copies = listed.filter("number > first").select("repo", "number", F.col("first").alias("duplicate_of"), F.lit(1.0).alias("similarity"))
     return scored.unionByName(copies)
 
 
+def _counters(hashed: DataFrame) -> bytes:
+    """A byte for each counter that ``hashes`` fall to: how often they do, on a scale of logarithms."""
+    slices = hashed.mapInArrow(raise_counters, "slice int, at binary, n binary").repartition("slice")
+    ranks = {x.slice: x.ranks for x in slices.mapInArrow(add_counters, "slice int, ranks binary").collect()}
+    return b"".join(ranks.get(no, bytes(SLICE)) for no in range(COUNTERS // SLICE))
+
+
 # -- errors -----------------------------------------------------------------------
 
 
