@@ -23,9 +23,9 @@ CELLS = 1 << 16
 #: Classes of sizes at most; the last one takes all larger sets.
 CLASSES = 4_096
 #: Bytes of heads and parity bits: in a block of a cell, in a part of the sets that search it, and of those searched together.
-BLOCK_BYTES, PART_BYTES, SEARCH_BYTES = 16 << 20, 64 << 20, 8 << 20
+BLOCK_BYTES, PART_BYTES, SEARCH_BYTES = 16 << 20, 64 << 20, 4 << 20
 #: Shared words, longs of parity bits and parity bits that are held at once.
-HITS, LONGS, BITS = 2_000_000, 4_000_000, 4_000_000
+HITS, LONGS, BITS = 1_000_000, 1_000_000, 4_000_000
 #: Sets that are dealt to blocks together.
 VISITORS = 1_000
 #: Sets that are checked together at most, and their words.
@@ -80,7 +80,7 @@ def parity_bits(classes: np.ndarray) -> np.ndarray:
 
 def head_sizes(sizes: np.ndarray, share: float) -> np.ndarray:
     """Words of which one at least is shared by two sets with ``share`` of the words in common."""
-    return np.minimum(sizes, sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1)
+    return np.clip(sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1, 0, sizes)
 
 
 # -- counts ----------------------------------------------------------------------
@@ -232,9 +232,8 @@ class Rows:
 def _units(x: Rows) -> np.ndarray:
     """For each set the number of the first one of those it is checked with: near ones of its cell."""
     order = np.lexsort((x["set"], x["near"], x["cell"]))
-    cell, n = x["cell"][order], x["n"][order]
+    cell, n = x["cell"][order], np.maximum(x["n"][order], UNIT_WORDS // UNIT_SETS)
     first = np.r_[True, cell[1:] != cell[:-1]]
-    n = np.maximum(n, UNIT_WORDS // UNIT_SETS)
     before = np.cumsum(n) - n
     tile = (before - before[np.flatnonzero(first)][np.cumsum(first) - 1]) // UNIT_WORDS
     first[1:] |= tile[1:] != tile[:-1]
@@ -243,74 +242,88 @@ def _units(x: Rows) -> np.ndarray:
     return units
 
 
-def _partners(x: Rows, y: Rows, floor: float) -> Iterator[pa.RecordBatch]:
-    """``set, unit, partners``: for sets of ``y`` the smaller ones of ``x`` in the same cell that can be above the floor; and these, without partners."""
-    if not len(x) or not len(y):
-        return
-    held = head_sizes(x["n"], 2 * floor / (1 + floor))
-    words = np.repeat(x["cell"], held) << 32 | x.head[_spread(x.at_head, held)].astype(np.int64)
-    order = np.argsort(words, kind="stable")
-    words, owner = words[order], np.repeat(np.arange(len(x)), held)[order]
-    asked, asker = np.repeat(y["cell"], y.heads) << 32 | y.head.astype(np.int64), np.repeat(np.arange(len(y)), y.heads)
-    begins = np.searchsorted(words, asked, "left")
-    counts = np.searchsorted(words, asked, "right") - begins
-    hit = counts > 0
-    begins, counts, asker = begins[hit], counts[hit], asker[hit]
-    # A set of y is never cut in two, so that its pairs are told apart at once.
-    total = np.cumsum(np.bincount(asker, weights=counts, minlength=len(y)))
-    part = (total // HITS).astype(np.int64)[asker]
-    units = _units(x)
-    for own in np.split(np.arange(len(asker)), np.flatnonzero(np.diff(part)) + 1):
-        if not len(own):
-            continue
-        i, j = owner[_spread(begins[own], counts[own])], np.repeat(asker[own], counts[own])
-        nx, ny = x["n"][i], y["n"][j]
-        kept = (nx > floor * ny) & ((nx < ny) | ((nx == ny) & (x["set"][i] < y["set"][j])))
-        pairs = np.unique(j[kept] * len(x) + i[kept])
-        i, j = pairs % len(x), pairs // len(x)
-        kept = _few_apart(x, y, i, j, floor)
-        i, j = i[kept], j[kept]
-        if not len(i):
-            continue
-        order = np.lexsort((units[i], j))
-        i, j, unit = i[order], j[order], units[i][order]
-        cuts = np.flatnonzero(np.r_[True, (j[1:] != j[:-1]) | (unit[1:] != unit[:-1])])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(i)].astype(np.int32)), pa.array(x["set"][i]))
-        yield pa.RecordBatch.from_arrays([pa.array(y["set"][j[cuts]]), pa.array(unit[cuts]), lists], ["set", "unit", "partners"])
-        told = np.unique(i)
-        yield pa.RecordBatch.from_arrays([pa.array(x["set"][told]), pa.array(units[told]), pa.nulls(len(told), lists.type)], ["set", "unit", "partners"])
-
-
-def _few_apart(x: Rows, y: Rows, i: np.ndarray, j: np.ndarray, floor: float) -> np.ndarray:
-    """Whether parity bits differ in no more places than words may."""
-    kept = np.zeros(len(i), bool)
-    most = (1 - floor) / (1 + floor) * (x["n"][i] + y["n"][j]) + 1e-6
-    sort = x.longs[i] << 32 | y.longs[j]
-    for kind in np.unique(sort):
-        longs = int(kind >> 32)
-        same = np.flatnonzero(sort == kind)
-        for some in np.array_split(same, -(-len(same) * int(kind & 0xFFFFFFFF) // LONGS)):
-            apart = np.bitwise_count(x.parity(i[some], longs) ^ y.parity(j[some], longs)).sum(axis=1, dtype=np.int64)
-            kept[some] = apart <= most[some]
-    return kept
+class Index:
+    """The smaller partners of some cells by the words of their heads."""
+
+    def __init__(self, x: Rows, floor: float) -> None:
+        self.x, self.floor, self.units = x, floor, _units(x)
+        held = head_sizes(x["n"], 2 * floor / (1 + floor))
+        words = np.repeat(x["cell"], held) << 32 | x.head[_spread(x.at_head, held)].astype(np.int64)
+        order = np.argsort(words)
+        self.owner = np.repeat(np.arange(len(x), dtype=np.int32), held)[order]
+        self.words, self.first, self.many = np.unique(words[order], return_index=True, return_counts=True)
+
+    def partners(self, y: Rows) -> Iterator[pa.RecordBatch]:
+        """``set, unit, partners``: for sets of ``y`` the smaller ones of the same cell that can be above the floor; and these, without partners."""
+        if not len(self.words) or not len(y):
+            return
+        x, units = self.x, self.units
+        # Sorted words are looked up faster than others.
+        asked = np.repeat(y["cell"], y.heads) << 32 | y.head.astype(np.int64)
+        order = np.argsort(asked)
+        place = np.empty(len(asked), np.int64)
+        place[order] = np.minimum(np.searchsorted(self.words, asked[order]), len(self.words) - 1)
+        hit = self.words[place] == asked
+        place, asker = place[hit], np.repeat(np.arange(len(y)), y.heads)[hit]
+        begins, counts = self.first[place], self.many[place]
+        # A set of y is never cut in two, so that its pairs are told apart at once.
+        total = np.cumsum(np.bincount(asker, weights=counts, minlength=len(y)))
+        part = (total // HITS).astype(np.int64)[asker]
+        for own in np.split(np.arange(len(asker)), np.flatnonzero(np.diff(part)) + 1):
+            if not len(own):
+                continue
+            i, j = self.owner[_spread(begins[own], counts[own])], np.repeat(asker[own], counts[own])
+            nx, ny = x["n"][i], y["n"][j]
+            kept = (nx > self.floor * ny) & ((nx < ny) | ((nx == ny) & (x["set"][i] < y["set"][j])))
+            pairs = np.unique(j[kept] * len(x) + i[kept])
+            i, j = pairs % len(x), pairs // len(x)
+            kept = self._few_apart(y, i, j)
+            i, j = i[kept], j[kept]
+            if not len(i):
+                continue
+            order = np.lexsort((units[i], j))
+            i, j, unit = i[order], j[order], units[i][order]
+            cuts = np.flatnonzero(np.r_[True, (j[1:] != j[:-1]) | (unit[1:] != unit[:-1])])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(i)].astype(np.int32)), pa.array(x["set"][i]))
+            yield pa.RecordBatch.from_arrays([pa.array(y["set"][j[cuts]]), pa.array(unit[cuts]), lists], ["set", "unit", "partners"])
+            told = np.unique(i)
+            yield pa.RecordBatch.from_arrays([pa.array(x["set"][told]), pa.array(units[told]), pa.nulls(len(told), lists.type)], ["set", "unit", "partners"])
+
+    def _few_apart(self, y: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether parity bits differ in no more places than words may."""
+        x, kept = self.x, np.zeros(len(i), bool)
+        most = (1 - self.floor) / (1 + self.floor) * (x["n"][i] + y["n"][j]) + 1e-6
+        sort = x.longs[i] << 32 | y.longs[j]
+        for kind in np.unique(sort):
+            longs = int(kind >> 32)
+            same = np.flatnonzero(sort == kind)
+            for some in np.array_split(same, -(-len(same) * int(kind & 0xFFFFFFFF) // LONGS)):
+                apart = np.bitwise_count(x.parity(i[some], longs) ^ y.parity(j[some], longs)).sum(axis=1, dtype=np.int64)
+                kept[some] = apart <= most[some]
+        return kept
 
 
 def find_partners(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordBatch]:
     """Lists of partners from rows sorted by ``repo, of, block, part, role``."""
     held: list[Rows] = []
-    last, no, known = None, 0, None
+    last, no, index = None, 0, None
 
     def answers(every: bool) -> Iterator[pa.RecordBatch]:
         """All that is held, but cells whose smaller partners may not have come yet."""
-        nonlocal held, known
+        nonlocal held, index
         rows = Rows.joined(held)
         done = np.full(len(rows), True) if every else (rows["cell"] < no) | bool(rows["role"][-1] == 2)
-        x = rows.take(np.flatnonzero((rows["role"] < 2) & done))
-        if known is not None:
-            x = Rows.joined([known, x])
-        yield from _partners(x, rows.take(np.flatnonzero((rows["role"] != 1) & done)), floor)
         held = [] if done.all() else [rows.take(np.flatnonzero(~done))]
-        known = x.take(np.flatnonzero(x["cell"] == no)) if done[-1] else None
+        smaller = np.flatnonzero((rows["role"] < 2) & done)
+        if len(smaller):
+            known = [] if index is None else [index.x.take(np.flatnonzero(index.x["cell"] == rows["cell"][0]))]
+            index = Index(Rows.joined([*known, rows.take(smaller)]), floor)
+        if index is None:
+            return
+        asks = np.flatnonzero((rows["role"] != 1) & done)
+        part = np.cumsum(4 * rows.heads + 8 * rows.longs)[asks] // SEARCH_BYTES
+        for some in np.split(asks, np.flatnonzero(np.diff(part)) + 1):
+            yield from index.partners(rows.take(some))
 
     for batch in batches:
         if not len(batch):
